@@ -8,8 +8,11 @@ share that folder, so a lost executor costs a re-read and no recomputation.
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +50,18 @@ def shared_folder(spark: SparkSession) -> str:
     return known
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that don't have it on their path."""
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    on_path = {os.path.realpath(x) for x in os.environ.get("PYTHONPATH", "").split(os.pathsep) if x}
+    if str(root) in on_path or getattr(sc, "_codeloom_shipped", False):
+        return
+    where = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="codeloom-"), "codeloom"), "zip", root, "codeloom")
+    sc.addPyFile(where)  # sent to the executors by the driver
+    sc._codeloom_shipped = True
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
