@@ -1,0 +1,19 @@
+"""The current rows of current nodes."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from codeloom.functions.normal import filled, latest, norm_id
+
+
+def current_nodes(nodes: DataFrame, *columns: str) -> DataFrame:
+    """(id, *columns): of each id the row with the greatest indexed_at, unless that row records a removal.
+
+    Only ``columns`` are read.  Rows without an id are dropped; a null indexed_at
+    comes before any other; of repeated deliveries the last counts.
+    """
+    live = nodes.where(filled("id"))
+    payload = [F.col("removed_at").isNull().alias("_alive"), *(F.col(c) for c in columns)]
+    return latest(live, norm_id("id"), [F.col("indexed_at"), F.col("landed_at")], payload, "id").where("_alive").select("id", *columns)
