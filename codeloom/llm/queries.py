@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codeloom.llm import docpairs, neighbors
+from codeloom.llm import docpairs, mixing, nearcopies, neighbors, quality, tokens
 from codeloom.llm.current import current_nodes
 from codeloom.llm.sql import SQL
 from codeloom.plans.tables import table
@@ -16,6 +17,23 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.similar_pairs(current_nodes(table(spark, d, "nodes"), "embedding")).select("id_a", "id_b")
 
 
+#: The texts of problem 2: runs of three words, six tenths in common, from 25 words on.
+CODE = nearcopies.Params(least=0.6, run=3, least_words=25)
+
+
+def _code_texts(spark: SparkSession, d: str) -> DataFrame:
+    return current_nodes(table(spark, d, "nodes"), "raw_text").where("raw_text is not null").select("id", F.col("raw_text").alias("text"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.similar_pairs(_code_texts(spark, d), CODE)
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Class and number of links of every symbol with enough words."""
+    return nearcopies.groups(_code_texts(spark, d), CODE)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.function_docs(table(spark, d, "nodes"), with_text=False).select("id")
 
@@ -25,4 +43,33 @@ def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
     return docpairs.function_docs(table(spark, d, "nodes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p3_pairs)}
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_corpus(table(spark, d, "documents"))
+
+
+def p7_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Number of ids of each document and whether decoding gives the text back."""
+    return tokens.token_counts(table(spark, d, "documents"))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen documents and how often each is used."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share that each source reaches."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return quality.not_prose(docs, quality.rules_for(docs, table(spark, d, "doc_labels"))).select("doc_id")
+
+
+def p9_figures(spark: SparkSession, d: str) -> DataFrame:
+    """The statistics of every document."""
+    return quality.figures(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs, p7_ids, p7_sizes, p8_mix, p8_shares, p9_found, p9_figures)}
