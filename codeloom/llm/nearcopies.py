@@ -49,7 +49,10 @@ from codeloom.session import materialize, release, ship
 
 @dataclass(frozen=True)
 class Params:
-    """least: similarity; run: words in a run; expand: copies up to which classes are spelt out as pairs."""
+    """least: similarity; run: words in a run; expand: copies up to which classes are spelt out as pairs.
+
+    sent_rows bounds the rows of numbers (8 bytes each) that are sent to every executor.
+    """
 
     least: float = 0.8
     run: int = 5
@@ -59,6 +62,7 @@ class Params:
     widen: int = 8
     frequent_rows: int = 262_144
     expand: int = 64
+    sent_rows: int = 1_000_000
 
 
 _WORD = re.compile(r"[a-z0-9_]+")
@@ -303,6 +307,11 @@ class Result:
     links: DataFrame
 
 
+def _small(rows: DataFrame, p: Params) -> DataFrame:
+    """A written table, sent to all executors if it has few rows; else joined by a shuffle."""
+    return F.broadcast(rows) if rows.count() <= p.sent_rows else rows
+
+
 def _kept(sets: DataFrame, frequent: np.ndarray, kept: float) -> DataFrame:
     """Sets of which less than ``kept`` is left without the frequent runs."""
     shared = sets.sparkSession.sparkContext.broadcast(frequent)
@@ -341,9 +350,9 @@ def near_copies(records: DataFrame, p: Params = Params()) -> Result:
         named = texts.select("num", "id", F.col("num").alias("class"))
         sets = texts.select("num", "n", "runs")
     else:
-        named = texts.select("num", "id", "h", "g").join(twins, ["h", "g"], "left").select("num", "id", F.coalesce("class", "num").alias("class"))
+        named = texts.select("num", "id", "h", "g").join(_small(twins, p), ["h", "g"], "left").select("num", "id", F.coalesce("class", "num").alias("class"))
         named = materialize(named, "named")
-        more = named.where("num <> class").select("num")
+        more = _small(materialize(named.where("num <> class").select("num"), "more"), p)
         sets = materialize(texts.select("num", "n", "runs").join(more, "num", "left_anti"), "sets")
     found = None
     pool, bound = sets, p.common
@@ -353,7 +362,7 @@ def near_copies(records: DataFrame, p: Params = Params()) -> Result:
             break
         bound = max(bound, -(-size.runs // p.frequent_rows))
         frequent = common_runs(pool, bound, pool.rdd.getNumPartitions()) if bound < size.n else np.zeros(0, np.uint64)
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.runs * 2 // 1_500_000))
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.runs * 2 // 500_000))
         got = materialize(candidates(pool, frequent, p, buckets), "candidates")
         found = got if found is None else found.unionByName(got)
         if not len(frequent):
@@ -365,9 +374,13 @@ def near_copies(records: DataFrame, p: Params = Params()) -> Result:
     if found is None:
         links = spark.createDataFrame([], "a long, b long, sim double")
     else:
-        x = sets.select(F.col("num").alias("a"), F.col("runs").alias("x"))
-        y = sets.select(F.col("num").alias("b"), F.col("runs").alias("y"))
-        both = found.distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        pairs = materialize(found.distinct(), "pairs")
+
+        def side(num: str, runs: str) -> DataFrame:
+            needed = _small(materialize(pairs.select(num).distinct(), "needed"), p)
+            return sets.select(F.col("num").alias(num), F.col("runs").alias(runs)).join(needed, num, "left_semi")
+
+        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
         links = materialize(both.mapInArrow(lambda it: _verify(it, p.least), "a long, b long, sim double"), "links")
     return Result(named, sets, links)
 
