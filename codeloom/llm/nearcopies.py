@@ -11,7 +11,8 @@ the next.  k is the greatest difference in an instance.
 three parts each.  Of n1 partitions at least three hold at most one difference,
 and of the three parts of such a partition at least two hold none.  So for each
 partition each two of its parts give a signature, and similar sets share at
-least three signatures of an instance; pairs that share fewer are no candidates.
+least n1 - k'//2 signatures of an instance, k' being the greatest difference for
+their own sizes.  Pairs that share less than half of that are no candidates.
 
 *Tiers.*  A signature may be shared by a third of all records if it consists of
 runs that everyone uses.  Leaving members out of the domain can only reduce a
@@ -67,7 +68,7 @@ class Params:
 
 _WORD = re.compile(r"[a-z0-9_]+")
 _U = np.uint64
-_PARTS, _SHARED = 3, 3
+_PARTS, _SHARED, _MOST = 3, 3, 1 << 24
 _TEXTS = "id string, h long, g long, n int, runs binary"
 
 
@@ -197,10 +198,24 @@ def _unplanes(raw: bytes, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
 
-def pairs_of(sig: np.ndarray, num: np.ndarray, n: np.ndarray, inst: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(a, b, instance, signatures shared) of the sets that share signatures, where sizes allow it; in blocks."""
+def needed(na: np.ndarray, nb: np.ndarray, n1: np.ndarray, least: float) -> np.ndarray:
+    """Shared signatures below which two sets of these sizes are no candidates.
+
+    Similar sets differ in at most k members for their own sizes, which leaves
+    n1 - k//2 partitions with at most one difference.  Half of that is asked for,
+    and at least three, since parts may hold none of the runs that are counted.
+    """
+    k = ((1 - least) / (1 + least) * (na + nb) + 1e-9).astype(np.int64)
+    return np.maximum(_SHARED, (n1 - k // 2 + 1) // 2)
+
+
+def pairs_of(sig: np.ndarray, num: np.ndarray, n: np.ndarray, inst: np.ndarray, least: float, parts_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(a, b, what, signatures shared) of the sets that share signatures, where sizes allow it; in blocks.
+
+    ``what`` holds the instance and the number of signatures needed in it.
+    """
     order = np.argsort(sig, kind="stable")
-    sig, num, n, inst = sig[order], num[order], n[order], inst[order]
+    sig, num, n, inst = sig[order], num[order], n[order].astype(np.int64), inst[order].astype(np.int64)
     at = np.flatnonzero(sig[1:] == sig[:-1])
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     size, step = 0, 1
@@ -208,7 +223,9 @@ def pairs_of(sig: np.ndarray, num: np.ndarray, n: np.ndarray, inst: np.ndarray,
         i, j = at, at + step
         ok = (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9) & (num[i] != num[j])
         a, b = num[i[ok]], num[j[ok]]
-        held.append((np.minimum(a, b), np.maximum(a, b), inst[i[ok]]))
+        v = inst[i[ok]]
+        what = v * _MOST + np.minimum(needed(n[i[ok]], n[j[ok]], parts_of[v], least), _MOST - 1)
+        held.append((np.minimum(a, b), np.maximum(a, b), what))
         size += len(a)
         if size > 4_000_000:
             yield _counted(held)
@@ -268,13 +285,14 @@ def candidates(sets: DataFrame, frequent: np.ndarray, p: Params, buckets: int) -
         cols = []
         for name, dtype in (("sig", np.uint64), ("num", np.int64), ("n", np.uint32), ("inst", np.uint8)):
             cols.append(np.concatenate([_unplanes(x, dtype) for x in t.column(name).to_pylist()]))
-        got = list(pairs_of(*cols, least=p.least)) or [tuple(np.zeros(0, np.int64) for _ in range(4))]
+        got = list(pairs_of(*cols, least=p.least, parts_of=parts_of)) or [tuple(np.zeros(0, np.int64) for _ in range(4))]
         a, b, i, c = (np.concatenate(v) for v in zip(*got))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "inst": pa.array(i.astype(np.int32)), "c": pa.array(c.astype(np.int64))})
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "what": pa.array(i), "c": pa.array(c.astype(np.int32))})
 
     posted = sets.select("num", "n", "runs").mapInArrow(post, "bucket int, sig binary, num binary, n binary, inst binary")
-    met = posted.groupBy("bucket").applyInArrow(meet, "a long, b long, inst int, c long")
-    return met.groupBy("a", "b", "inst").agg(F.sum("c").alias("c")).where(F.col("c") >= _SHARED).select("a", "b").distinct()
+    met = posted.groupBy("bucket").applyInArrow(meet, "a long, b long, what long, c int")
+    counted = met.groupBy("a", "b", "what").agg(F.sum("c").alias("c")).where(F.col("c") >= F.col("what") % _MOST)
+    return counted.select("a", "b").distinct()
 
 
 def _by_band(x: np.ndarray, row: np.ndarray, band: np.ndarray, parts_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
