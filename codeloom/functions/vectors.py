@@ -55,7 +55,7 @@ def pack(rows: DataFrame, key: str, vector: str, dim: int, block: int, name: str
                 v = b.column(1)
                 lo, hi = np.asarray(v.offsets)[[0, -1]] if len(v) else (0, 0)
                 flat = np.asarray(v.values.to_numpy(zero_copy_only=False), np.float32)[lo:hi]
-                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_pylist()]), pa.array([flat.tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_raw"])
+                yield pa.RecordBatch.from_arrays([pa.array([b.column(0).to_pylist()], pa.list_(b.column(0).type)), pa.array([flat.tobytes()], pa.binary())], names=[f"{name}_ids", f"{name}_raw"])
 
     return rows.where(usable(vector, dim)).select(key, vector).mapInArrow(run, f"{name}_ids array<{kind}>, {name}_raw binary")
 
@@ -74,6 +74,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int = 64, block: i
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            q_type, c_type = (b.column(c).type.value_type for c in ("q_ids", "c_ids"))
             for qi, qr, ci, cr in zip(*(b.column(c).to_pylist() for c in ("q_ids", "q_raw", "c_ids", "c_raw"))):
                 q, c = (np.frombuffer(x, np.float32).reshape(-1, dim).astype(np.float64) for x in (qr, cr))
                 if cosine:
@@ -84,7 +85,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int = 64, block: i
                 top = np.argsort(-s, axis=1, kind="stable")[:, :k]
                 n, m = top.shape
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([qi[i] for i in range(n) for _ in range(m)]), pa.array([names[j] for j in top.ravel()]), pa.array(np.take_along_axis(s, top, 1).ravel())],
+                    [pa.array([qi[i] for i in range(n) for _ in range(m)], q_type), pa.array([names[j] for j in top.ravel()], c_type), pa.array(np.take_along_axis(s, top, 1).ravel())],
                     names=["query", "id", "score"],
                 )
 

@@ -159,10 +159,10 @@ def node_detail(spark, d):
     return lookup.node_detail(cur(spark, d), edges(spark, d))
 
 
-@query(f"WITH {_CUR}, {_EDGES}, part AS (SELECT id FROM cur WHERE contains(lower(file), 'index')) SELECT src, dst, relation FROM edge WHERE src IN (SELECT id FROM part) AND dst IN (SELECT id FROM part)")
+@query(f"WITH {_CUR}, {_EDGES}, part AS (SELECT id FROM cur WHERE contains(lower(file), '-web/')) SELECT src, dst, relation FROM edge WHERE src IN (SELECT id FROM part) AND dst IN (SELECT id FROM part)")
 def file_like_graph(spark, d):
     n = cur(spark, d)
-    return lookup.induced(n, edges(spark, d), lookup.file_like(n, "index"))[1].select("src", "dst", "relation")
+    return lookup.induced(n, edges(spark, d), lookup.file_like(n, "-web/"))[1].select("src", "dst", "relation")
 
 
 @query(f"""WITH {_CALLS}, ids AS (SELECT src AS id, false AS seed FROM call WHERE dst IN {_TOP.format(n=3)} UNION ALL SELECT id, true FROM {_TOP.format(n=3)})
@@ -395,8 +395,8 @@ def context_budget(spark, d):
 _CONTEXT = f"""WITH {_LINKS}, {_SCORED.format(which='q.vec_id = 0')}, seed AS MATERIALIZED (SELECT id, score, rank FROM top WHERE rank <= 5),
     {_rank("CASE WHEN v.id IN (SELECT id FROM seed) THEN 1.0::DOUBLE / (SELECT count(*) FROM seed) ELSE 0 END")},
     ppr AS (SELECT id, round(score, 9) AS score, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM ranked ORDER BY rank LIMIT 25),
-    both AS (SELECT id, score, rank AS place, 0 AS part FROM seed UNION ALL SELECT id, 0.8::DOUBLE * score, rank, 1 FROM ppr),
-    one AS (SELECT id, part, place, score FROM both QUALIFY row_number() OVER (PARTITION BY id ORDER BY part, place) = 1),
+    pool AS (SELECT id, score, rank AS place, 0 AS part FROM seed UNION ALL SELECT id, 0.8::DOUBLE * score, rank, 1 FROM ppr),
+    one AS (SELECT id, part, place, score FROM pool QUALIFY row_number() OVER (PARTITION BY id ORDER BY part, place) = 1),
     merged AS (SELECT id, score, row_number() OVER (ORDER BY part, place) AS place FROM one),
     shown AS (SELECT m.place, m.id, cur.name, m.score, {_SERIAL} AS text FROM merged m JOIN cur ON cur.id = m.id WHERE cur.type <> 'file'),
     counted AS (SELECT *, CAST(length(text) // 4 AS INTEGER) AS tokens, sum(length(text) // 4) OVER (ORDER BY place) AS total FROM shown),
@@ -496,10 +496,10 @@ def coupling_pairs(spark, d):
 _TOUCH = "t AS (SELECT DISTINCT file, repo_id || '@' || strftime(indexed_at, '%Y-%m-%d') AS seq FROM file_hashes WHERE file IS NOT NULL AND repo_id IS NOT NULL AND indexed_at IS NOT NULL)"
 
 
-@query(f"WITH {_TOUCH} SELECT a.file AS file_a, b.file AS file_b, count(*) AS commits FROM t a JOIN t b ON a.seq = b.seq AND a.file < b.file GROUP BY 1, 2 HAVING count(*) >= 2")
+@query(f"WITH {_TOUCH} SELECT a.file AS file_a, b.file AS file_b, count(*) AS commits FROM t a JOIN t b ON a.seq = b.seq AND a.file < b.file GROUP BY 1, 2")
 def cochange_pairs(spark, d):
     t = table(spark, d, "file_hashes").where("file is not null and repo_id is not null and indexed_at is not null")
-    return temporal.cochange_pairs(t.select("file", F.concat("repo_id", F.lit("@"), F.date_format("indexed_at", "yyyy-MM-dd")).alias("seq")))
+    return temporal.cochange_pairs(t.select("file", F.concat("repo_id", F.lit("@"), F.date_format("indexed_at", "yyyy-MM-dd")).alias("seq")), at_least=1)
 
 
 @query(f"WITH {_HIST}, {_EDGES} SELECT (SELECT count(DISTINCT seq) FROM touches) AS commits_processed, (SELECT count(*) FROM lives) AS nodes_tracked, (SELECT count(*) FROM edge) AS edges_tracked")
