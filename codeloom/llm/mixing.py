@@ -85,5 +85,5 @@ def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None =
     chosen = choose(docs, b)
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("times").alias("most_times"))
     report = b.join(got, "source", "left").na.fill(0, ["tokens", "documents", "most_times"])
-    share = F.coalesce(F.col("tokens") / F.sum("tokens").over(W.partitionBy(F.lit(0))), F.lit(0.0))
+    share = F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(W.partitionBy(F.lit(0)))), F.lit(0.0))
     return chosen, report.select("source", F.round("share", 6).alias("target_share"), F.round(share, 6).alias("actual_share"), F.col("cap").alias("max_repeats"), "size", "budget", "tokens", "documents", "most_times")

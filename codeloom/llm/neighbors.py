@@ -147,11 +147,11 @@ def build_graph(c: np.ndarray, degree: int, seed: int) -> Graph:
     # half of the links go to the nearest, some are kept at random: the graph stays connected
     if n > 4 * d:
         near[:, -max(1, d // 8) :] = rng.integers(0, n, (n, max(1, d // 8)))
-    entry = rng.choice(n, min(n, max(16, int(np.sqrt(n)))), replace=False).astype(np.int32) if n else np.zeros(0, np.int32)
+    entry = rng.choice(n, min(n, max(16, int(3 * np.sqrt(n)))), replace=False).astype(np.int32) if n else np.zeros(0, np.int32)
     return Graph(c, near, entry)
 
 
-def search(g: Graph, q: np.ndarray, want: int, beam: int = 12, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
+def search(g: Graph, q: np.ndarray, want: int, beam: int = 24, rounds: int = 14) -> tuple[np.ndarray, np.ndarray]:
     """(lists, similarities) of the ``want`` nearest centroids of each row of ``q``, best first.
 
     All rows walk the graph together: each round expands the best candidate that
@@ -168,7 +168,7 @@ def search(g: Graph, q: np.ndarray, want: int, beam: int = 12, rounds: int = 12)
     done = ids < 0
     for _ in range(rounds):
         open_ = np.where(done, -9.0, sim)
-        pick = np.argsort(-open_, axis=1)[:, :2]
+        pick = np.argsort(-open_, axis=1)[:, :3]
         live = np.take_along_axis(open_, pick, 1)[:, 0] > -9.0
         if not live.any():
             break

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import docpairs, mixing, nearcopies, neighbors, quality, tokens
-from codeloom.llm.current import current_nodes
 from codeloom.llm.sql import SQL
+from codeloom.operators.store import current_nodes
 from codeloom.plans.tables import table
 
 __all__ = ["QUERIES", "SQL"]
