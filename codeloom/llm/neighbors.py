@@ -38,21 +38,28 @@ from pyspark.sql import functions as F
 from codeloom.session import materialize, ship
 
 
+_ENTRIES = 1_024  # centroids at which a search may start
+
+
 @dataclass(frozen=True)
 class Params:
-    """sample_rows bounds what the centroids are fitted to, max_lists their number."""
+    """sample_rows bounds what the centroids are fitted to (256 bytes each), max_lists their number.
+
+    list_size is the number of vectors for which there is one list, until
+    max_lists is reached; beyond it lists grow.
+    """
 
     dim: int = 64
     k: int = 5
     least: float = 0.88
-    list_size: int = 256
-    sample_rows: int = 65_536
-    max_lists: int = 4_096
-    degree: int = 16
+    list_size: int = 64
+    sample_rows: int = 262_144
+    max_lists: int = 32_768
+    degree: int = 32
     copies: int = 2
-    slack: float = 0.06
-    probes: int = 4
-    reach: float = 0.22
+    slack: float = 0.1
+    probes: int = 6
+    reach: float = 0.3
     block: int = 2_048
     seed: int = 11
 
@@ -147,11 +154,11 @@ def build_graph(c: np.ndarray, degree: int, seed: int) -> Graph:
     # half of the links go to the nearest, some are kept at random: the graph stays connected
     if n > 4 * d:
         near[:, -max(1, d // 8) :] = rng.integers(0, n, (n, max(1, d // 8)))
-    entry = rng.choice(n, min(n, max(16, int(3 * np.sqrt(n)))), replace=False).astype(np.int32) if n else np.zeros(0, np.int32)
+    entry = rng.choice(n, min(n, max(_ENTRIES, int(3 * np.sqrt(n)))), replace=False).astype(np.int32) if n else np.zeros(0, np.int32)
     return Graph(c, near, entry)
 
 
-def search(g: Graph, q: np.ndarray, want: int, beam: int = 24, rounds: int = 14) -> tuple[np.ndarray, np.ndarray]:
+def search(g: Graph, q: np.ndarray, want: int, beam: int = 48, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
     """(lists, similarities) of the ``want`` nearest centroids of each row of ``q``, best first.
 
     All rows walk the graph together: each round expands the best candidate that
@@ -160,7 +167,7 @@ def search(g: Graph, q: np.ndarray, want: int, beam: int = 24, rounds: int = 14)
     n, rows = len(g.at), np.arange(len(q))[:, None]
     beam = min(max(beam, want), n)
     s = q @ g.at[g.entry].T
-    top = np.argsort(-s, axis=1)[:, :beam]
+    top = np.argpartition(-s, min(beam, s.shape[1]) - 1, axis=1)[:, :beam]
     ids, sim = g.entry[top], np.take_along_axis(s, top, 1)
     if ids.shape[1] < beam:
         pad = beam - ids.shape[1]
@@ -261,9 +268,9 @@ def nearest(units: DataFrame, p: Params) -> DataFrame:
     """
     spark = units.sparkSession
     n = units.count()
-    share = min(1.0, 1.2 * p.sample_rows / max(1, n))
+    share = min(1.0, p.sample_rows / max(1, n))
     chosen = units if share >= 1.0 else units.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = unpack(pa.array([r.vec for r in chosen.select("vec").limit(p.sample_rows).collect()], pa.binary()), p.dim)
+    sample = unpack(chosen.select("vec").toArrow().column("vec"), p.dim)
     lists = min(p.max_lists, max(1, -(-n // p.list_size)))
     shared = spark.sparkContext.broadcast(build_graph(fit_centroids(sample, lists, p.seed), p.degree, p.seed))
     slices = max(1, -(-2 * n // (lists * 65_536)))  # a list of more rows is asked in so many parts
