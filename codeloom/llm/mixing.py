@@ -44,7 +44,7 @@ def targets_of(mix_targets: DataFrame) -> DataFrame:
 def sized(documents: DataFrame, targets: DataFrame, vocabulary: str = BYTE_BPE_50K, seed: int = 7) -> DataFrame:
     """(doc_id, source, tokens, key, part) of the documents that can be chosen, written once."""
     wanted = documents.select("doc_id", norm_id("source").alias("source"), "text").join(targets.select("source"), "source", "left_semi")
-    counted = token_counts(wanted, keep=("source",), vocabulary=vocabulary).where("tokens > 0").drop("exact")
+    counted = token_counts(wanted, keep=("source",), vocabulary=vocabulary, check=False).where("tokens > 0").drop("exact")
     key = F.xxhash64("doc_id", F.lit(seed))
     part = F.shiftrightunsigned(key, 52)  # the first 12 of 64 bits: ranges of the key in unsigned order
     return materialize(counted.withColumn("key", key).withColumn("part", part), "sized")

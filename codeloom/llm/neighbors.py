@@ -158,13 +158,15 @@ def build_graph(c: np.ndarray, degree: int, seed: int) -> Graph:
     return Graph(c, near, entry)
 
 
-def search(g: Graph, q: np.ndarray, want: int, beam: int = 48, rounds: int = 20) -> tuple[np.ndarray, np.ndarray]:
+def search(g: Graph, q: np.ndarray, want: int, beam: int = 48, rounds: int = 20, far: float = 1.6) -> tuple[np.ndarray, np.ndarray]:
     """(lists, similarities) of the ``want`` nearest centroids of each row of ``q``, best first.
 
-    All rows walk the graph together: each round expands the best candidate that
-    a row hasn't expanded yet and keeps its ``beam`` best.
+    All rows walk the graph together: each round expands the three best
+    candidates that a row hasn't expanded yet and keeps its ``beam`` best.  A
+    candidate ``far`` times as far as the best isn't expanded; a row without
+    candidates is done.
     """
-    n, rows = len(g.at), np.arange(len(q))[:, None]
+    n = len(g.at)
     beam = min(max(beam, want), n)
     s = q @ g.at[g.entry].T
     top = np.argpartition(-s, min(beam, s.shape[1]) - 1, axis=1)[:, :beam]
@@ -173,26 +175,30 @@ def search(g: Graph, q: np.ndarray, want: int, beam: int = 48, rounds: int = 20)
         pad = beam - ids.shape[1]
         ids, sim = np.pad(ids, ((0, 0), (0, pad)), constant_values=-1), np.pad(sim, ((0, 0), (0, pad)), constant_values=-9.0)
     done = ids < 0
+    live = np.arange(len(q))
     for _ in range(rounds):
-        open_ = np.where(done, -9.0, sim)
-        pick = np.argsort(-open_, axis=1)[:, :3]
-        live = np.take_along_axis(open_, pick, 1)[:, 0] > -9.0
-        if not live.any():
+        i, x, d = ids[live], sim[live], done[live]
+        open_ = np.where(d | (x < 1 - far * far * (1 - x.max(axis=1, keepdims=True))), -9.0, x)
+        go = open_.max(axis=1) > -9.0
+        if not go.all():
+            live, i, x, d, open_ = live[go], i[go], x[go], d[go], open_[go]
+        if not len(live):
             break
-        np.put_along_axis(done, pick, True, 1)
-        cand = g.near[np.maximum(np.take_along_axis(ids, pick, 1), 0)].reshape(len(q), -1)
-        cs = np.einsum("ncd,nd->nc", g.at[cand], q)
-        all_ids, all_sim = np.concatenate([ids, cand], 1), np.concatenate([sim, cs], 1)
-        all_done = np.concatenate([done, np.zeros_like(cand, bool)], 1)
+        rows = np.arange(len(live))[:, None]
+        pick = np.argpartition(-open_, min(3, beam) - 1, axis=1)[:, :3]
+        np.put_along_axis(d, pick, True, 1)
+        cand = g.near[np.maximum(np.take_along_axis(i, pick, 1), 0)].reshape(len(live), -1)
+        cs = np.einsum("ncd,nd->nc", g.at[cand], q[live])
+        all_ids, all_sim, all_done = np.concatenate([i, cand], 1), np.concatenate([x, cs], 1), np.concatenate([d, np.zeros_like(cand, bool)], 1)
         # one place for each id: after sorting by id, what was expanded comes first
-        order = np.argsort(all_ids * 2 + ~all_done, axis=1, kind="stable")
+        order = np.argsort(all_ids * 2 + ~all_done, axis=1)
         all_ids, all_sim, all_done = all_ids[rows, order], all_sim[rows, order], all_done[rows, order]
         again = np.zeros_like(all_done)
         again[:, 1:] = all_ids[:, 1:] == all_ids[:, :-1]
         all_sim = np.where(again | (all_ids < 0), -9.0, all_sim)
         keep = np.argpartition(-all_sim, beam - 1, axis=1)[:, :beam]
-        ids, sim, done = all_ids[rows, keep], all_sim[rows, keep], all_done[rows, keep]
-        ids, done = np.where(sim <= -9.0, -1, ids), done | (sim <= -9.0)
+        i, x, d = all_ids[rows, keep], all_sim[rows, keep], all_done[rows, keep]
+        ids[live], sim[live], done[live] = np.where(x <= -9.0, -1, i), x, d | (x <= -9.0)
     best = np.argsort(-sim, axis=1, kind="stable")[:, :want]
     return np.take_along_axis(ids, best, 1), np.take_along_axis(sim, best, 1)
 
@@ -276,7 +282,7 @@ def nearest(units: DataFrame, p: Params) -> DataFrame:
     slices = max(1, -(-2 * n // (lists * 65_536)))  # a list of more rows is asked in so many parts
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, 2_000) for whole in batches for at in range(0, whole.num_rows, 2_000)):
             q = unpack(b.column("vec"), p.dim)
             r, to, member = route(shared.value, q, p)
             part = r % slices

@@ -156,8 +156,8 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
     return src.mapInArrow(run, f"{key} {src.schema[key].dataType.simpleString()}, ids array<int>")
 
 
-def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), vocabulary: str = BYTE_BPE_50K) -> DataFrame:
-    """(key, *keep, tokens, exact): number of ids, and whether decoding them gives the text back."""
+def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), vocabulary: str = BYTE_BPE_50K, check: bool = True) -> DataFrame:
+    """(key, *keep, tokens, exact): number of ids, and whether decoding them gives the text back (null without ``check``)."""
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +165,9 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
             for b in _slices(whole):
                 e, texts = encoder(vocabulary), _texts(b)
                 ids = e.encode(texts)
-                same = [e.decode(i) == (t or "") for i, t in zip(ids, texts)]
+                same = [e.decode(i) == (t or "") if check else None for i, t in zip(ids, texts)]
                 names = [n for n in b.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(list(map(len, ids)), pa.int64()), pa.array(same)], names=[*names, "tokens", "exact"])
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())], names=[*names, "tokens", "exact"])
 
     src = documents.select(key, *keep, F.col(text).cast("binary").alias("text"))
     types = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in (key, *keep))
