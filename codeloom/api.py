@@ -33,6 +33,7 @@ class Engine:
     model: Callable[[list[str]], object] | None = None
     snapshots: str | None = None
     log: list[dict] = field(default_factory=list)
+    _links: DataFrame | None = None
 
     @classmethod
     def from_tree(cls, spark: SparkSession, root: str, **kw) -> Engine:
@@ -45,9 +46,15 @@ class Engine:
     def refresh(self, root: str) -> DataFrame:
         """Index what changed below ``root``; returns the report."""
         i = index_tree(self.spark, root, self.index(), dim=self.dim)
-        self.nodes, self.edges, self.hashes = i.nodes, i.edges, i.hashes
+        self.nodes, self.edges, self.hashes, self._links = i.nodes, i.edges, i.hashes, None
         return i.report
 
+    def links(self) -> DataFrame:
+        """The symmetrised call graph, written once for each version of the index."""
+        if self._links is None:
+            self._links = materialize(graph.symmetrize(self.nodes, self.edges.where("relation = 'CALLS'")), "links")
+        return self._links
+
     def error(self, text: str) -> DataFrame:
         return self.spark.createDataFrame([(text,)], "error string")
 
@@ -142,4 +149,4 @@ class Engine:
 
     def ranks(self, personal: DataFrame | None = None, **kw) -> DataFrame:
         """PageRank of the whole graph, or personalised to ``personal`` (id, p)."""
-        return graph.pagerank(self.nodes, graph.symmetrize(self.nodes, self.edges), personal, **kw)
+        return graph.pagerank(self.nodes, self.links(), personal, **kw)

@@ -91,6 +91,13 @@ def release(df: DataFrame) -> None:
         _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
 
 
+def sweep() -> None:
+    """Delete all tables that ``materialize`` wrote; DataFrames that read them are dead then."""
+    for spark, path in _WRITTEN:
+        drop_path(spark, path)
+    _WRITTEN.clear()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _WRITTEN:

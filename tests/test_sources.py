@@ -214,3 +214,32 @@ def test_embedding(spark):
 
     own = ingest.embed(df, "text", 2, "v", lambda texts: np.array([[len(t), 1] for t in texts]))
     assert {tuple(r.v) for r in own.collect()} == {(15.0, 1.0), (0.0, 1.0), (13.0, 1.0)}
+
+
+def test_command_line(spark, tree, tmp_path):
+    from codeloom.__main__ import parser, run
+
+    go = lambda *a, repo="one": run(spark, parser().parse_args(["--store", f"file://{tmp_path}/store", "--dim", "32", "--repo", repo, *a]))
+    assert go("init", str(tree)).first().files_indexed == 3
+    assert go("init", str(tree)).first().files_indexed == 0
+    assert go("init", str(tree / "pkg"), repo="two").first().files_indexed == 2
+    assert go("status").first().files_indexed == 3 and go("callees", "m").count() >= 1 and go("map", "pkg/b.py").count() == 1
+    assert go("search", "helper").count() > 0 and go("query", "helper").first().included > 0 and go("impact", "helper").first().blast_radius > 0
+    assert go("federate").count() == 2 and {r.repo for r in go("trace", "helper").collect()} == {"one", "two"}
+    assert go("volatility").columns == ["error"] and go("timeline", str(tmp_path)).first().nodes_tracked == 0
+    (tmp_path / "d").write_text("+def helper(x):\n")
+    assert go("diff", str(tmp_path / "d")).first().changed >= 1 and go("audit").columns[0] == "node_id"
+
+
+def test_catalog(spark, tmp_path):
+    from codeloom.sources.catalog import Catalog
+
+    c = Catalog(spark, f"file://{tmp_path}/c")
+    assert c.read("edges").count() == 0 and not c.has("edges")
+    row = spark.createDataFrame([("a", "b", "CALLS")], "src string, dst string, relation string")
+    c.write("edges", row, "x")
+    c.write("edges", row.union(row), "y")
+    c.write("edges", c.read("edges").where("repo_id = 'y'").limit(1), "y")
+    assert sorted((r.repo_id, r.src) for r in c.read("edges").collect()) == [("x", "a"), ("y", "a")]
+    c.write("nodes", spark.createDataFrame([("i", "f")], "id string, name string"))  # an older schema
+    assert c.read("nodes").first().embedding is None
