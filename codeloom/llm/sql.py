@@ -1,3 +1,27 @@
-"""DuckDB SQL for those queries of this package that SQL can state on whole tables."""
+"""DuckDB SQL for those queries of this package that SQL can state on whole tables.
 
-SQL: dict[str, str] = {}
+Problem 1 is approximate, problems 3 and 9 read and learn, problems 7 and 8 need
+the tokenizer; their tests are against brute force, public libraries, round
+trips and held-out labels instead.
+"""
+
+_PAD = "' ' || chr(9) || chr(13) || chr(10)"
+_RUNS = f"""WITH cur AS (
+  SELECT lower(trim(id, {_PAD})) AS id, raw_text, removed_at,
+    row_number() OVER (PARTITION BY lower(trim(id, {_PAD})) ORDER BY indexed_at DESC NULLS LAST, landed_at DESC NULLS LAST) AS rn
+  FROM nodes WHERE trim(id, {_PAD}) <> ''),
+word AS (SELECT id, regexp_extract_all(lower(raw_text), '[a-z0-9_]+') AS w FROM cur WHERE rn = 1 AND removed_at IS NULL AND raw_text IS NOT NULL),
+run AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM word WHERE len(w) >= 25),
+whole AS MATERIALIZED (SELECT id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS class FROM run GROUP BY 1),
+shared AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM run a JOIN run b ON a.g = b.g AND a.id < b.id GROUP BY 1, 2),
+pair AS MATERIALIZED (
+  SELECT id_a, id_b, a.class AS class_a, b.class AS class_b FROM shared s JOIN whole a ON a.id = s.id_a JOIN whole b ON b.id = s.id_b
+  WHERE 10 * c >= 6 * (a.n + b.n - c))"""
+
+SQL: dict[str, str] = {
+    "p2_found": f"{_RUNS} SELECT id_a, id_b FROM pair",
+    "p2_groups": f"""{_RUNS}, class AS (SELECT class, min(id) AS class_id, count(*) AS copies FROM whole GROUP BY 1),
+      ends AS (SELECT class_a AS class, class_b AS other FROM pair WHERE class_a <> class_b UNION SELECT class_b, class_a FROM pair WHERE class_a <> class_b),
+      links AS (SELECT class, count(*) AS links FROM ends GROUP BY 1)
+      SELECT w.id, class_id, copies, coalesce(links, 0) AS links FROM whole w JOIN class c ON c.class = w.class LEFT JOIN links l ON l.class = w.class""",
+}
