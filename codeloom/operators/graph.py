@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import materialize, release
+from codeloom.session import materialize, release, written
 
 
 def existing_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def symmetrize(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def bfs(links: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
     """(id, hop): ids reached from ``start`` (id) over links (src, dst), each with its least number of hops."""
+    links = written(links, "links")
     reached = materialize(start.select("id").distinct().withColumn("hop", F.lit(0)), "bfs")
     steps = [reached]
     for hop in range(1, max_depth + 1):
@@ -64,7 +65,8 @@ def pagerank(
     without links goes; uniform without it.  Ids that aren't vertices are left
     out and the rest is scaled to 1; if none is left the result is empty.  With
     ``iterations``, so many are made; else until the summed change is below
-    ``tol`` (times the number of vertices, if ``scaled_tol``).
+    ``tol`` (times the number of vertices, if ``scaled_tol``).  Ranks are written
+    every ``cut_every`` rounds, and every round where the change is watched.
     """
     ids = materialize(vertices.select("id").distinct(), "vertices")
     n = ids.count()
@@ -79,33 +81,40 @@ def pagerank(
         if not total:
             return empty
         base = ids.join(p.withColumn("p", F.col("p") / total), "id", "left").na.fill(0.0, ["p"])
+    links = written(links, "links")
+    has = links.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
+    # rounds that are planned together share one shuffle of the weighted links
     w = materialize(weights(links), "weights")
-    has = w.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
     base = materialize(base.join(has, "id", "left").select("id", "p", F.coalesce("out", F.lit(False)).alias("out")), "base")
-    rank = base.select("id", "p", "out", F.lit(1.0 / n).alias("score"))
-    written = None
-    for i in range(1, (iterations or max_iter) + 1):
+    rank = base.select("id", "out", F.lit(1.0 / n).alias("score"))
+    last = None
+    for i in range(1, (iterations if iterations is not None else max_iter) + 1):
         flow = rank.select(F.col("id").alias("src"), "score").join(w, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
         lost = rank.where(~F.col("out")).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         new = base.join(flow, "id", "left").crossJoin(F.broadcast(lost))  # one row
         score = F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + F.lit(1 - alpha) * F.col("p")
-        new = new.select("id", "p", "out", score.alias("score"))
+        new = new.select("id", "out", score.alias("score"))
         if iterations is not None and i % cut_every and i < iterations:
             rank = new
             continue
         new = materialize(new, "rank")
+        near = False
         if iterations is None:
-            err = new.select("id", "score").join(rank.select("id", F.col("score").alias("old")), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-            if err < tol * (n if scaled_tol else 1):
-                return new.select("id", "score")
-        if written is not None:
-            release(written)
-        rank = written = new
+            err = new.join(rank.select("id", F.col("score").alias("old")), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+            near = err < tol * (n if scaled_tol else 1)
+        if last is not None:
+            release(last)
+        rank = last = new
+        if near:
+            break
+    if last is None:
+        rank = materialize(rank, "rank")
     return rank.select("id", "score")
 
 
 def ego(links: DataFrame, changed: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """(vertices, links) within ``radius`` hops of ``changed`` (id)."""
+    links = written(links, "links")
     near = materialize(bfs(links, changed, radius).select("id"), "ego")
     return near, existing_edges(near, links)
 

@@ -263,7 +263,7 @@ _BFS = f"""bfs AS (SELECT id, 0 AS hop FROM {_TOP.format(n=1)} UNION SELECT l.ds
 
 @query(f"WITH RECURSIVE {_LINKS}, {_BFS.format(t='link', depth=4)} SELECT id, CAST(hop AS INTEGER) AS hop FROM hops")
 def bfs_hops(spark, d):
-    n, e = cur(spark, d, "type"), edges(spark, d, "CALLS")
+    n, e = materialize(cur(spark, d, "type"), "cur"), materialize(edges(spark, d, "CALLS"), "calls")
     links = materialize(graph.symmetrize(n, e), "links")
     return graph.bfs(links, most_called(n, e, 1), 4)
 
@@ -292,7 +292,7 @@ _SEED1 = f"CASE WHEN v.id IN {_TOP.format(n=1)} THEN 1.0::DOUBLE ELSE 0 END"
 
 @query(f"WITH {_LINKS}, {_rank(_SEED5)} SELECT id, round(score, 8) AS score FROM ranked")
 def ppr(spark, d):
-    n, e = cur(spark, d, "type"), edges(spark, d, "CALLS")
+    n, e = materialize(cur(spark, d, "type"), "cur"), materialize(edges(spark, d, "CALLS"), "calls")
     seeds = most_called(n, e, 5).withColumn("p", F.lit(1.0))
     return graph.pagerank(n, graph.symmetrize(n, e), seeds, iterations=ROUNDS).select("id", F.round("score", 8).alias("score"))
 
@@ -302,7 +302,7 @@ _EGO = f"WITH RECURSIVE {_LINKS}, {_BFS.format(t='link', depth=2)}, ego AS MATER
 
 @query(f"{_EGO} SELECT id, round(score, 8) AS score FROM ranked")
 def pagerank_subgraph(spark, d):
-    n, e = cur(spark, d, "type"), edges(spark, d, "CALLS")
+    n, e = materialize(cur(spark, d, "type"), "cur"), materialize(edges(spark, d, "CALLS"), "calls")
     links = materialize(graph.symmetrize(n, e), "links")
     return graph.local_pagerank(links, most_called(n, e, 1), 2, iterations=ROUNDS).select("id", F.round("score", 8).alias("score"))
 
@@ -323,7 +323,7 @@ def _impact(t: str) -> str:
 
 
 def _blast(spark, d, direction="both"):
-    n, e = materialize(cur(spark, d), "cur"), edges(spark, d)
+    n, e = materialize(cur(spark, d), "cur"), materialize(edges(spark, d), "edges")
     return impact.blast_radius(n, e, most_called(n, e.where("relation = 'CALLS'"), 1), direction=direction, iterations=ROUNDS)
 
 
@@ -432,7 +432,8 @@ def get_context_report(spark, d):
     SELECT * FROM d WHERE drift_score >= 0.35"""
 )
 def drift_audit(spark, d):
-    return drift.drift(materialize(cur(spark, d, *_SHORT, "embedding"), "cur"), graph.existing_edges(cur(spark, d, "type"), edges(spark, d, "CALLS")).withColumn("relation", F.lit("CALLS")))
+    n = materialize(cur(spark, d, "type", "name", "file", "line_start", "embedding"), "cur")
+    return drift.drift(n, materialize(graph.existing_edges(n, edges(spark, d, "CALLS")), "calls").withColumn("relation", F.lit("CALLS")))
 
 
 @query()

@@ -83,6 +83,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if it is a written table already, else a written copy."""
+    return df if getattr(df, "_codeloom_path", None) else materialize(df, name)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores, for work that costs much CPU a row.
+
+    Only small inputs are moved: a large one has more splits than cores already.
+    ``df`` must be a scan with projections and filters.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def release(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and that nothing reads any more."""
     path = getattr(df, "_codeloom_path", None)
