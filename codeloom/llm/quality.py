@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.normal import filled, norm_id
+from codeloom.session import spread
 
 #: Common words of the languages that documents are written in.
 COMMON = """
@@ -62,6 +63,7 @@ def figures(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     wide_share (Chinese characters), longest_word, name_share (words with _ or
     inner capitals).
     """
+    documents = spread(documents.select(key, text))
     t = F.coalesce(F.col(text), F.lit(""))
     flat = F.regexp_replace(t, r"\r\n?|[  \u0085]", "\n")
     lines = F.filter(F.transform(F.split(flat, "\n", -1), lambda x: F.regexp_replace(x, r"^[\s\p{Z}\p{Cc}\p{Cf}]+|[\s\p{Z}\p{Cc}\p{Cf}]+$", "")), lambda x: x != "")

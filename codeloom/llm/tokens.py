@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import ship
+from codeloom.session import ship, spread
 
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that cuts a text into pre-tokens for this vocabulary.
@@ -153,7 +153,7 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
 
     src = documents.select(key, F.col(text).cast("binary").alias("text"))
-    return src.mapInArrow(run, f"{key} {src.schema[key].dataType.simpleString()}, ids array<int>")
+    return spread(src).mapInArrow(run, f"{key} {src.schema[key].dataType.simpleString()}, ids array<int>")
 
 
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), vocabulary: str = BYTE_BPE_50K, check: bool = True) -> DataFrame:
@@ -171,4 +171,4 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
 
     src = documents.select(key, *keep, F.col(text).cast("binary").alias("text"))
     types = ", ".join(f"{n} {src.schema[n].dataType.simpleString()}" for n in (key, *keep))
-    return src.mapInArrow(run, f"{types}, tokens long, exact boolean")
+    return spread(src).mapInArrow(run, f"{types}, tokens long, exact boolean")
