@@ -54,7 +54,7 @@ def get_context(nodes: DataFrame, edges: DataFrame, query: DataFrame, max_tokens
     """
     seeds = materialize(top_k(query, nodes.select("id", "embedding"), semantic_k, dim, cosine=True).select("id", "score", "rank"), "seeds")
     links = materialize(symmetrize(nodes, edges.where("relation = 'CALLS'")), "links")
-    ppr = pagerank(nodes, links, seeds.select("id", F.lit(1.0).alias("p")), iterations=iterations)
+    ppr = pagerank(nodes, links, seeds.select("id", F.lit(1.0).alias("p")), iterations=iterations, watch_every=4)
     top = ppr.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(pagerank_k)
     ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
     merged = materialize(merge_ranked(seeds, ranked), "merged")

@@ -57,7 +57,7 @@ def weights(links: DataFrame) -> DataFrame:
 
 def pagerank(
     vertices: DataFrame, links: DataFrame, personal: DataFrame | None = None, alpha: float = 0.85,
-    iterations: int | None = None, max_iter: int = 100, tol: float = 1e-6, scaled_tol: bool = True, cut_every: int = 4,
+    iterations: int | None = None, max_iter: int = 100, tol: float = 1e-6, scaled_tol: bool = True, cut_every: int = 4, watch_every: int = 1,
 ) -> DataFrame:
     """(id, score) of each vertex (id) after power iteration over links (src, dst).
 
@@ -66,7 +66,8 @@ def pagerank(
     out and the rest is scaled to 1; if none is left the result is empty.  With
     ``iterations``, so many are made; else until the summed change is below
     ``tol`` (times the number of vertices, if ``scaled_tol``).  Ranks are written
-    every ``cut_every`` rounds, and every round where the change is watched.
+    every ``cut_every`` rounds.  With ``watch_every`` the change is looked at in
+    so many rounds only, and the result is at least as close.
     """
     ids = materialize(vertices.select("id").distinct(), "vertices")
     n = ids.count()
@@ -94,12 +95,14 @@ def pagerank(
         new = base.join(flow, "id", "left").crossJoin(F.broadcast(lost))  # one row
         score = F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + F.lit(1 - alpha) * F.col("p")
         new = new.select("id", "out", score.alias("score"))
-        if iterations is not None and i % cut_every and i < iterations:
+        watch = iterations is None and i % watch_every == 0
+        before = iterations is None and (i + 1) % watch_every == 0  # what the next change is measured from
+        if not (watch or before or i % cut_every == 0 or i == (iterations or max_iter)):
             rank = new
             continue
         new = materialize(new, "rank")
         near = False
-        if iterations is None:
+        if watch:
             err = new.join(rank.select("id", F.col("score").alias("old")), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
             near = err < tol * (n if scaled_tol else 1)
         if last is not None:

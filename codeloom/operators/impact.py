@@ -41,7 +41,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_dep
     n = start.count()
     ids = reached if not reached.isEmpty() else start.withColumn("hop", F.lit(0))
     seeds = start.withColumn("p", F.lit(1.0 / max(n, 1)))
-    risk = pagerank(nodes, both, seeds, iterations=iterations)
+    risk = pagerank(nodes, both, seeds, iterations=iterations, watch_every=4)
     short = nodes.select("id", "name", "file", F.col("line_start").alias("line"), "type")
     known = ids.join(short, "id").join(risk, "id", "left")
     affected = materialize(
