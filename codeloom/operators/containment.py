@@ -60,12 +60,12 @@ def _double(links: DataFrame, trail: bool) -> tuple[DataFrame, DataFrame | None]
         left = now
 
 
-def _circles(links: DataFrame, caught: DataFrame) -> DataFrame:
-    """(id, root) for ids on a circle or below one; root is the smallest id on the circle.
+def _landed(links: DataFrame, caught: DataFrame) -> DataFrame:
+    """(id, anc, low) for ids on a circle or below one: a far ancestor and the smallest id on the way.
 
     Every parent of a caught id is caught too.  After R rounds with 2**R >= n,
-    each pointer ends on a circle and the minimum over the stretch that starts
-    there covers the circle.
+    each pointer ends on a circle, each id of a circle is the end of one, and the
+    minimum over the stretch that starts there covers the circle.
     """
     state = materialize(links.join(caught, "id", "left_semi").select("id", F.col("parent").alias("anc"), F.col("id").alias("low")), "circles")
     reach, n = 1, state.count()
@@ -74,7 +74,12 @@ def _circles(links: DataFrame, caught: DataFrame) -> DataFrame:
         new = materialize(state.join(goal, "anc").select("id", F.col("a2").alias("anc"), F.least("low", "l2").alias("low")), "circles")
         release(state)
         state, reach = new, reach * 2
-    return state.select("id", "anc").join(state.select(F.col("id").alias("anc"), F.col("low").alias("root")), "anc").select("id", "root")
+    return state
+
+
+def _circles(landed: DataFrame) -> DataFrame:
+    """(id, root) for ids on a circle or below one; root is the smallest id on the circle."""
+    return landed.select("id", "anc").join(landed.select(F.col("id").alias("anc"), F.col("low").alias("root")), "anc").select("id", "root")
 
 
 def hierarchy(edges: DataFrame, relation: str = "DEFINES", trail: bool = False) -> DataFrame:
@@ -98,7 +103,7 @@ def hierarchy(edges: DataFrame, relation: str = "DEFINES", trail: bool = False)
     out = nested.unionByName(heads)
     if caught is not None:
         lost = [F.lit(None).cast("array<string>").alias("up")] if trail else []
-        out = out.unionByName(_circles(links, caught).select("id", "root", F.lit(-1).alias("depth"), *lost))
+        out = out.unionByName(_circles(_landed(links, caught)).select("id", "root", F.lit(-1).alias("depth"), *lost))
     return out
 
 
@@ -108,9 +113,48 @@ def paths(edges: DataFrame, relation: str = "DEFINES", sep: str = "/") -> DataFr
     return hierarchy(edges, relation, trail=True).select("id", "root", "depth", whole.alias("path"))
 
 
-def descendants(edges: DataFrame, relation: str = "DEFINES") -> DataFrame:
-    """(id, descendant, distance): each node with each node below it; circles have none."""
-    h = hierarchy(edges, relation, trail=True).where("depth > 0")
-    return h.select(F.col("id").alias("descendant"), "depth", F.posexplode("up").alias("at", "id")).select(
+def _pairs(nested: DataFrame) -> DataFrame:
+    """(id, descendant, distance) from ids with their ``depth`` and ancestors ``up``."""
+    return nested.select(F.col("id").alias("descendant"), "depth", F.posexplode("up").alias("at", "id")).select(
         "id", "descendant", (F.col("depth") - F.col("at")).alias("distance")
     )
+
+
+def descendants(edges: DataFrame, relation: str = "DEFINES") -> DataFrame:
+    """(id, descendant, distance): each node of a tree with each node below it.
+
+    Pairs on circles and below are those of ``circle_descendants``.
+    """
+    return _pairs(hierarchy(edges, relation, trail=True).where("depth > 0"))
+
+
+def circle_descendants(edges: DataFrame, relation: str = "DEFINES") -> DataFrame:
+    """(id, descendant, distance) where id is on a circle or below one.
+
+    The ids of a circle are cut from their parents, so what is below them are
+    trees.  An id of a circle has all others of its circle and all that is below
+    any of them as descendants; the distance is that of the shortest way.
+    """
+    links = materialize(parent_links(edges, relation), "links")
+    state, caught = _double(links, False)
+    if caught is None:
+        return state.limit(0).select("id", F.col("anc").alias("descendant"), F.lit(0).alias("distance"))
+    landed = _landed(links, caught)
+    ring = materialize(_circles(landed).join(landed.select(F.col("anc").alias("id")).distinct(), "id", "left_semi"), "ring")
+    below = links.join(caught, "id", "left_semi").join(ring, "id", "left_anti")
+    nested = materialize(_double(below, True)[0].select("id", F.col("hop").cast("int").alias("depth"), "up"), "below")
+    # a circle, cut above its smallest id, is a chain; its hops tell the order
+    chain = _double(links.join(ring.where("id <> root"), "id", "left_semi"), False)[0].select("id", "hop")
+    place = ring.join(chain, "id", "left").select("id", "root", F.coalesce("hop", F.lit(0)).cast("int").alias("place"))
+    place = materialize(place.join(ring.groupBy("root").agg(F.count(F.lit(1)).cast("int").alias("size")), "root"), "ring")
+    other = place.select("root", F.col("id").alias("descendant"), F.col("place").alias("there"))
+    around = place.join(other, "root").where("id <> descendant").select("id", "descendant", F.pmod(F.col("there") - F.col("place"), "size").alias("distance"))
+    around = materialize(around, "around")
+    far = around.select("id", F.col("descendant").alias("top"), "distance").join(nested.select(F.col("up")[0].alias("top"), F.col("id").alias("descendant"), "depth"), "top")
+    return _pairs(nested).unionByName(around).unionByName(far.select("id", "descendant", (F.col("distance") + F.col("depth")).alias("distance")))
+
+
+def all_descendants(edges: DataFrame, relation: str = "DEFINES") -> DataFrame:
+    """(id, descendant, distance): each node with each node below it, in trees, on circles and below circles."""
+    edges = materialize(edges.select("src", "dst", "relation"), "edges")
+    return descendants(edges, relation).unionByName(circle_descendants(edges, relation))

@@ -21,6 +21,11 @@ def p4_descendants(spark: SparkSession, d: str) -> DataFrame:
     return containment.descendants(table(spark, d, "edges"))
 
 
+def p4_all_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The pairs of p4_descendants and those on and below circles."""
+    return containment.all_descendants(table(spark, d, "edges"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     logs = {"file_hashes": changes.file_log(table(spark, d, "file_hashes")), "nodes": changes.node_log(table(spark, d, "nodes"))}
     return changes.changes_by_run(table(spark, d, "index_runs"), logs).select("run_id", "tbl", "rec")
@@ -41,7 +46,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "boundary"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p5_found, p5_batches, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p4_all_descendants, p5_found, p5_batches, p6_found, p6_report)}
 
 _PAD = "' ' || chr(9) || chr(13) || chr(10)"
 
@@ -101,6 +106,14 @@ SQL = {
     "p4_found": f"WITH RECURSIVE {_DOWN} SELECT id, root, CAST(depth AS INTEGER) AS depth FROM whole",
     "p4_paths": f"WITH RECURSIVE {_DOWN} SELECT id, root, CAST(depth AS INTEGER) AS depth, path FROM whole",
     "p4_descendants": f"WITH RECURSIVE {_DOWN}, pairs AS (SELECT id AS descendant, depth, unnest(chain) AS id, unnest(range(len(chain))) AS pos FROM walk) SELECT id, descendant, CAST(depth - pos AS INTEGER) AS distance FROM pairs WHERE id <> descendant",
+    "p4_all_descendants": f"""WITH RECURSIVE {_DOWN}, pairs AS (SELECT id AS descendant, depth, unnest(chain) AS id, unnest(range(len(chain))) AS pos FROM walk),
+      climb AS (
+        SELECT id AS descendant, parent AS id, 1 AS distance, [id, parent] AS way FROM links WHERE id NOT IN (SELECT id FROM walk)
+        UNION ALL
+        SELECT c.descendant, l.parent, c.distance + 1, list_append(c.way, l.parent) FROM climb c JOIN links l ON l.id = c.id WHERE NOT list_contains(c.way, l.parent))
+      SELECT id, descendant, CAST(depth - pos AS INTEGER) AS distance FROM pairs WHERE id <> descendant
+      UNION ALL
+      SELECT id, descendant, CAST(distance AS INTEGER) FROM climb WHERE id <> descendant""",
     "p5_found": f"{_CHANGES} SELECT run_id, tbl, rec FROM changed",
     "p5_batches": f"{_CHANGES} SELECT run_id, tbl, count(*) AS changed, count(*) FILTER (WHERE state IS NULL) AS gone FROM changed GROUP BY 1, 2",
     "p6_found": f"{_ORPHANS} SELECT src, dst, relation, side FROM found",

@@ -40,6 +40,20 @@ def test_hierarchy_only_circles_and_two_parents(spark):
     assert two["k"] == "b"
 
 
+def test_descendants_on_and_below_circles(spark):
+    rows = [
+        ("b", "c", "DEFINES"), ("c", "a", "DEFINES"), ("a", "b", "DEFINES"), ("c", "x", "DEFINES"), ("x", "y", "DEFINES"), ("y", "z", "DEFINES"), ("x", "w", "DEFINES"),
+        ("self", "self", "DEFINES"), ("self", "kid", "DEFINES"), ("kid", "baby", "DEFINES"), ("top", "leaf", "DEFINES"),
+    ]
+    want = {("top", "leaf", 1), ("self", "kid", 1), ("self", "baby", 2), ("kid", "baby", 1), ("x", "y", 1), ("x", "z", 2), ("y", "z", 1), ("x", "w", 1)}
+    for i, n in enumerate("abc"):
+        want |= {(n, "abc"[(i + k) % 3], k) for k in (1, 2)} | {(n, d, 2 - i + k) for d, k in (("x", 1), ("y", 2), ("w", 2), ("z", 3))}
+    got = [tuple(r) for r in containment.all_descendants(edges(spark, rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert containment.all_descendants(edges(spark, rows[-1:])).count() == 1
+    assert containment.all_descendants(edges(spark, [("a", "b", "CALLS")])).count() == 0
+
+
 def test_hierarchy_empty(spark):
     e = edges(spark, [("a", "b", "CALLS")])
     assert containment.hierarchy(e).count() == 0 and containment.paths(e).count() == 0 and containment.descendants(e).count() == 0
