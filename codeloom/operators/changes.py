@@ -3,12 +3,13 @@
 Change logs are read by offset, the time at which a row landed.  Before a batch
 is worked on, its plan - the range of offsets of each log - is written ahead to
 the shared folder; a batch that failed is replayed from its plan, never planned
-anew.  The sink keeps one row for each key and offset, so a batch that is
+anew.  The sink keeps the newest row of each key and batch, so a batch that is
 applied twice changes nothing.
 
 ``plan_batches`` and ``apply_plan`` are the operator as DataFrames, for a whole
-history of runs at once; ``ChangeCapture`` drives the same two, batch by batch,
-with durable plans and commits.
+history of runs at once.  ``ChangeCapture`` plans from the offsets that it finds
+and works batch by batch, with durable plans and commits; both tell by
+``compared`` whether a state differs from the one before.
 
 Defined results: rows with a null or blank key or a null offset are never seen;
 repeated rows are one; of rows with equal ``version`` the one that landed last
@@ -68,15 +69,20 @@ def assign_batches(log: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def apply_plan(log: DataFrame, plan: DataFrame) -> DataFrame:
-    """(key, seq, state): each batch's keys whose state differs from the batch before.
+    """(key, seq, state): each batch's keys whose state differs from the batch before."""
+    known = compared(assign_batches(log, plan), "key")
+    return known.where(~F.col("now.state").eqNullSafe(F.col("was.state"))).select("key", "seq", F.col("now.state").alias("state"))
+
+
+def compared(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, seq, now, was): the newest row (version, offset, state) of each key up to each of its batches and before it.
 
     Rows are reduced to one for each key and batch before the shuffle; what a
     window then sees of one key is bounded by the number of batches.
     """
-    news = assign_batches(log, plan).groupBy("key", "seq").agg(F.max(F.struct("version", "offset", "state")).alias("news"))
-    w = W.partitionBy("key").orderBy("seq")
-    known = news.select("key", "seq", F.max("news").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("now"), F.max("news").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("was"))
-    return known.where(~F.col("now.state").eqNullSafe(F.col("was.state"))).select("key", "seq", F.col("now.state").alias("state"))
+    news = rows.groupBy(*keys, "seq").agg(F.max(F.struct("version", "offset", "state")).alias("news"))
+    w = W.partitionBy(*keys).orderBy("seq")
+    return news.select(*keys, "seq", F.max("news").over(w.rowsBetween(W.unboundedPreceding, 0)).alias("now"), F.max("news").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("was"))
 
 
 def file_log(file_hashes: DataFrame) -> DataFrame:
@@ -103,13 +109,18 @@ def changes_by_run(runs: DataFrame, logs: dict[str, DataFrame]) -> DataFrame:
     return out.join(plan.select("seq", "run_id"), "seq").select("run_id", "tbl", "rec", "state")
 
 
+def _parted(log: DataFrame) -> DataFrame:
+    """``log`` with the partition that each row came in; one partition where nothing is known of it."""
+    return log.withColumn("part", F.coalesce(F.col("part").cast("string"), F.lit("")) if "part" in log.columns else F.lit(""))
+
+
 @dataclass(frozen=True)
 class BatchPlan:
-    """One line of the write-ahead log: the offsets (micros, low exclusive) of each log."""
+    """One line of the write-ahead log: the offsets (micros) of each part of each log, from low, which the batch before has seen too, to high."""
 
     batch: int
-    low: dict[str, int | None]
-    high: dict[str, int | None]
+    low: dict[str, dict[str, int]]
+    high: dict[str, dict[str, int]]
 
 
 class ChangeCapture:
@@ -119,6 +130,11 @@ class ChangeCapture:
     batch N starts, ``sink/batch=N``, overwritten by each attempt, and
     ``done/N``, written last.  ``run`` first replays a batch that has a plan but
     no commit.  A record is taken over once however often its batch fails.
+
+    A log may have a column ``part``, the partition in which a row came; offsets
+    are planned for each, so one that lags loses nothing.  Rows at the planned
+    high itself are read again by the next batch, as more of them may land; rows
+    that the sink knows change nothing.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -154,29 +170,44 @@ class ChangeCapture:
                 return self.plan(n), True
         number = plans[-1] + 1 if plans else 1
         low = self.plan(plans[-1]).high if plans else {}
-        high = {name: log.agg(F.max(_micros("offset"))).first()[0] for name, log in logs.items()}
-        high = {name: low.get(name) if at is None else at for name, at in high.items()}
-        new = BatchPlan(number, {name: low.get(name) for name in logs}, high)
+        high = {}
+        for name, log in logs.items():
+            ends = _parted(log).where("offset is not null").groupBy("part").agg(F.max(_micros("offset")).alias("at")).collect()  # a row a partition
+            seen = low.get(name, {})
+            high[name] = seen | {r.part: max(r.at, seen.get(r.part, r.at)) for r in ends}
+        new = BatchPlan(number, {name: low.get(name, {}) for name in logs}, high)
         self._put(f"plans/{number}.json", json.dumps(asdict(new)))
         return new, False
 
+    def _sink(self, numbers: list[int]) -> DataFrame:
+        return self.spark.read.option("basePath", f"{self.root}/sink").parquet(*[f"{self.root}/sink/batch={n}" for n in numbers])
+
     def run(self, logs: dict[str, DataFrame], work: Callable[[DataFrame], None] | None = None) -> BatchPlan:
-        """Take over one batch; ``work`` gets its rows (tbl, key, version, state, offset)."""
+        """Take over one batch; ``work`` gets the rows (tbl, key, version, state, offset) that change a key's state."""
         plan, _ = self.next_plan(logs)
         out = None
         for name, log in logs.items():
-            at, low, high = _micros("offset"), plan.low.get(name), plan.high.get(name)
-            rows = log.where((at <= F.lit(high)) & (F.lit(True) if low is None else at > F.lit(low)))
-            rows = rows.dropDuplicates(["key", "version", "state", "offset"]).select(F.lit(name).alias("tbl"), "key", "version", "state", "offset")
+            high = plan.high.get(name, {})
+            ends = [(part, plan.low.get(name, {}).get(part), at) for part, at in high.items()]
+            ends = F.broadcast(self.spark.createDataFrame(ends, "part string, lo long, hi long"))  # a row a partition
+            at = _micros("offset")
+            rows = _parted(log).join(ends, "part").where((at <= F.col("hi")) & (F.col("lo").isNull() | (at >= F.col("lo"))))
+            rows = rows.select(F.lit(name).alias("tbl"), "key", "version", "state", "offset")
             out = rows if out is None else out.unionByName(rows)
-        out.write.mode("overwrite").parquet(f"{self.root}/sink/batch={plan.batch}")
+        rows = out.withColumn("seq", F.lit(1))
+        before = [n for n in self._numbers("done") if n != plan.batch]
+        if before:
+            known = self._sink(before).select("tbl", "key", "version", "state", "offset")
+            rows = rows.unionByName(known.join(out.select("tbl", "key").distinct(), ["tbl", "key"], "left_semi").withColumn("seq", F.lit(0)))
+        new = compared(rows, "tbl", "key").where((F.col("seq") == 1) & ~F.col("now").eqNullSafe(F.col("was")))
+        # rows that are newer but change nothing stay too: what lands later is measured against them
+        new = new.select("tbl", "key", "now.version", "now.state", "now.offset", (~F.col("now.state").eqNullSafe(F.col("was.state"))).alias("changed"))
+        new.write.mode("overwrite").parquet(f"{self.root}/sink/batch={plan.batch}")
         if work:
-            work(self.spark.read.parquet(f"{self.root}/sink/batch={plan.batch}"))
+            work(self._sink([plan.batch]).where("changed").select("tbl", "key", "version", "state", "offset"))
         self._put(f"done/{plan.batch}", "")
         return plan
 
     def taken(self) -> DataFrame:
-        """What the committed batches hold, one row for each log, key and offset."""
-        done = [n for n in self._numbers("done")]
-        rows = self.spark.read.option("basePath", f"{self.root}/sink").parquet(*[f"{self.root}/sink/batch={n}" for n in done])
-        return rows.groupBy("tbl", "key", "offset").agg(F.max(F.struct("version", "state")).alias("v")).select("tbl", "key", "offset", "v.*")
+        """(tbl, key, offset, version, state): the changes that the committed batches hold."""
+        return self._sink(self._numbers("done")).where("changed").select("tbl", "key", "offset", "version", "state")

@@ -147,6 +147,50 @@ def test_capture_survives_failures(spark, tmp_path):
     assert got == [("a", "1"), ("a", "2"), ("b", "1")]
 
 
+def test_capture_hands_on_what_differs(spark, tmp_path):
+    c = changes.ChangeCapture(spark, f"file://{tmp_path}/c")
+    rows, got = [("a", "1", T(1), T(1)), ("b", "1", T(1), T(1)), ("n", None, T(1), T(1))], []
+
+    def run(*more):
+        rows.extend(more)
+        got.clear()
+        c.run({"f": log_of(spark, rows)}, lambda df: got.extend((r.key, r.state) for r in df.collect()))
+        return sorted(got)
+
+    assert run() == [("a", "1"), ("b", "1")]
+    assert run(("a", "1", T(1), T(2))) == []  # delivered again
+    assert run(("b", "2", T(5), T(5)), ("z", "1", T(5), T(5))) == [("b", "2"), ("z", "1")]
+    assert run(("b", "3", T(4), T(6))) == []  # late, behind a newer version
+    assert run(("a", "1", T(6), T(7))) == []  # newer, the same state
+    assert run(("a", "4", T(5), T(8))) == []  # behind that
+    assert run(("y", "1", T(8), T(8))) == [("y", "1")]  # landed at the planned high, after the plan
+    assert run(("y", None, T(9), T(9))) == [("y", None)]
+
+
+def test_capture_plans_for_each_partition(spark, tmp_path):
+    c = changes.ChangeCapture(spark, f"file://{tmp_path}/c")
+    part = F.when(F.col("key").startswith("s"), "slow")
+    run = lambda rows: c.run({"f": log_of(spark, rows).withColumn("part", part)})
+    rows = [("a", "1", T(9), T(9)), ("s1", "1", T(1), T(1))]
+    assert run(rows).high == {"f": {"": 9 * 86_400_000_000 + 1735603200_000_000, "slow": 1735689600_000_000}}
+    run([*rows, ("s2", "1", T(2), T(2))])  # lags behind the other partition
+    assert sorted(r.key for r in c.taken().collect()) == ["a", "s1", "s2"]
+
+
+def test_capture_equals_the_history(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f"f{rng.randrange(5)}", rng.choice(["x", "y", None]), T(rng.randrange(1, 20)), T(rng.randrange(1, 20))) for _ in range(60)]
+    ends, c = (6, 12, 20), changes.ChangeCapture(spark, f"file://{tmp_path}/c")
+    for d in ends:
+        c.run({"f": log_of(spark, [r for r in rows if r[3] <= T(d)])})
+    df = spark.createDataFrame([(d, T(d), None, "succeeded") for d in ends], RUN)
+    want = sorted((r.run_id, r.rec) for r in changes.changes_by_run(df, {"f": log_of(spark, rows)}).collect())
+    taken = c._sink([1, 2, 3]).where("changed").collect()
+    assert sorted((ends[r.batch - 1], r.key) for r in taken) == want
+
+
 def test_skewed_parent(spark):
     hot = spark.range(20_000).select(F.lit("hub").alias("src"), F.concat(F.lit("c"), "id").alias("dst"), F.lit("DEFINES").alias("relation"), F.lit(None).cast("timestamp_ntz").alias("landed_at"))
     got = containment.hierarchy(hot)
