@@ -22,6 +22,11 @@ so sets that keep less than ``kept`` of their members go on to the next tier,
 which counts again among them with ``widen`` times the bound, until none is left
 or nothing is left out.
 
+*Small sets.*  Few members leave most parts empty, so less is shared than that.
+Pairs of which one set has at most ``exact`` members are candidates if they share
+a run of their prefixes: with all runs in one order, the rarest first, similar
+sets of size n share one of the first n - ceil(g * n) + 1.  That misses none.
+
 Candidates are verified exactly.  Texts with the same set form one class, which
 is compared once; members are joined to the result at the end.
 
@@ -43,6 +48,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.session import materialize, release, ship
@@ -51,6 +57,7 @@ from codeloom.session import materialize, release, ship
 @dataclass(frozen=True)
 class Params:
     """least: similarity; run: words in a run; expand: copies up to which classes are spelt out as pairs.
+    exact: members up to which a set is compared with all that share a rare run of it.
 
     sent_rows bounds the rows of numbers (8 bytes each) that are sent to every executor.
     """
@@ -62,6 +69,7 @@ class Params:
     kept: float = 0.6
     widen: int = 8
     frequent_rows: int = 262_144
+    exact: int = 24
     expand: int = 64
     sent_rows: int = 1_000_000
 
@@ -295,6 +303,29 @@ def candidates(sets: DataFrame, frequent: np.ndarray, p: Params, buckets: int) -
     return counted.select("a", "b").distinct()
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        x, row = _flat(b.column("runs"))
+        yield pa.RecordBatch.from_arrays([b.column("num").take(pa.array(row)), b.column("n").take(pa.array(row)), pa.array(x.view(np.int64))], names=["num", "n", "run"])
+
+
+def small_candidates(sets: DataFrame, p: Params) -> DataFrame | None:
+    """(a, b): every two sets, one of at most ``exact`` members, that share a run of their prefixes; null if there are none so small."""
+    near = materialize(sets.where(F.col("n") <= int(p.exact / p.least + 1e-9)), "small")
+    if near.where(F.col("n") <= p.exact).isEmpty():
+        return None
+    runs = materialize(near.select("num", "n", "runs").mapInArrow(_members, "num long, n int, run long"), "members")
+    often = runs.groupBy("run").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    order = W.partitionBy("num").orderBy("often", "run")  # at most exact / least rows
+    # runs of one set only come first in the order but meet nothing
+    alone = F.col("n") - F.count(F.lit(1)).over(W.partitionBy("num"))
+    ranked = runs.join(often, "run").select("num", "n", "run", (F.row_number().over(order) + alone).alias("at"))
+    first = materialize(ranked.where(F.col("at") <= F.col("n") - F.ceil(p.least * F.col("n") - 1e-9) + 1).select("num", "n", "run"), "prefixes")
+    a, b = first.select("run", F.col("num").alias("a"), F.col("n").alias("na")), first.select("run", F.col("num").alias("b"), F.col("n").alias("nb"))
+    fits = (F.col("a") < F.col("b")) & (F.least("na", "nb") <= p.exact) & (F.least("na", "nb") >= p.least * F.greatest("na", "nb") - 1e-9)
+    return materialize(a.join(b, "run").where(fits).select("a", "b").distinct(), "candidates")
+
+
 def _by_band(x: np.ndarray, row: np.ndarray, band: np.ndarray, parts_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``signatures`` band by band, so that a few long texts don't widen the grid of all."""
     got = []
@@ -372,7 +403,7 @@ def near_copies(records: DataFrame, p: Params = Params()) -> Result:
         named = materialize(named, "named")
         more = _small(materialize(named.where("num <> class").select("num"), "more"), p)
         sets = materialize(texts.select("num", "n", "runs").join(more, "num", "left_anti"), "sets")
-    found = None
+    found = small_candidates(sets, p)
     pool, bound = sets, p.common
     while True:
         size = pool.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("runs")).first()

@@ -85,6 +85,18 @@ def test_many_copies_are_tied_to_the_first(spark):
     assert got == {("k000", f"k{i:03d}") for i in range(1, 200)} | {(f"k{i:03d}", "other") for i in range(200)}
 
 
+def test_few_distinct_runs(spark):
+    rng, rows = random.Random(8), []
+    for i in range(150):  # cycles of two or three words and a tail: 2 to 6 distinct runs in 25 words and more
+        loop = [f"c{i}x{k}" for k in range(rng.choice([2, 3]))]
+        for tail in range(3):
+            rows.append((f"r{i:03d}{tail}", " ".join((loop * 20)[:30] + [f"t{i}y{k}" for k in range(tail)])))
+    rows += [(f"h{i:03d}", " ".join(["hot"] * 30 + [f"u{i}"])) for i in range(60)]  # all share one run
+    p = nc.Params(least=0.6, run=3, least_words=25)
+    want = brute(rows, p)
+    assert len(want) > 200 and found(spark, rows, p) == want
+
+
 def test_empty(spark):
     assert nc.similar_pairs(table(spark, []), nc.Params()).count() == 0
     assert nc.groups(table(spark, [("a", None)]), nc.Params()).count() == 0
