@@ -56,7 +56,7 @@ from codeloom.session import materialize, release, ship
 
 @dataclass(frozen=True)
 class Params:
-    """least: similarity; run: words in a run; expand: copies up to which classes are spelt out as pairs.
+    """least: similarity; run: words in a run; expand: copies up to which classes are spelt out as pairs, null for all.
     exact: members up to which a set is compared with all that share a rare run of it.
 
     sent_rows bounds the rows of numbers (8 bytes each) that are sent to every executor.
@@ -70,7 +70,7 @@ class Params:
     widen: int = 8
     frequent_rows: int = 262_144
     exact: int = 24
-    expand: int = 64
+    expand: int | None = 64
     sent_rows: int = 1_000_000
 
 
@@ -434,8 +434,13 @@ def near_copies(records: DataFrame, p: Params = Params()) -> Result:
     return Result(named, sets, links)
 
 
-def _spread(r: Result, expand: int) -> DataFrame:
+def _spread(r: Result, expand: int | None) -> DataFrame:
     """Pairs of ids for classes of up to ``expand`` copies; larger classes are tied by their first copy."""
+    if expand is None:
+        one, two = (r.texts.select(F.col("class").alias(c), F.col("id").alias(i)) for c, i in (("a", "ia"), ("b", "ib")))
+        same = one.join(two.withColumnRenamed("b", "a"), "a").where("ia < ib").select("ia", "ib")
+        other = r.links.select("a", "b").join(one, "a").join(two, "b").select("ia", "ib")
+        return same.unionByName(other).select(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).distinct()
     counts = r.texts.groupBy("class").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("head"))
     member = r.texts.select("class", "id").join(counts, "class")
     shown = member.where((F.col("copies") <= expand) | (F.col("id") == F.col("head")))
@@ -456,7 +461,7 @@ def _spread(r: Result, expand: int) -> DataFrame:
 def similar_pairs(records: DataFrame, p: Params = Params()) -> DataFrame:
     """(id_a, id_b): each pair of records at or above the similarity, id_a < id_b.
 
-    Copies beyond ``p.expand`` are paired with their class's smallest id only;
+    Copies beyond ``p.expand``, if given, are paired with their class's smallest id only;
     ``groups`` names the class of every record.
     """
     return _spread(near_copies(records, p), p.expand)

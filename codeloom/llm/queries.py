@@ -17,8 +17,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbors.similar_pairs(current_nodes(table(spark, d, "nodes"), "embedding")).select("id_a", "id_b")
 
 
-#: The texts of problem 2: runs of three words, six tenths in common, from 25 words on.
-CODE = nearcopies.Params(least=0.6, run=3, least_words=25)
+#: The texts of problem 2: runs of three words, six tenths in common, from 25 words on; every pair.
+CODE = nearcopies.Params(least=0.6, run=3, least_words=25, expand=None)
 
 
 def _code_texts(spark: SparkSession, d: str) -> DataFrame:

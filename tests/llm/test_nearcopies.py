@@ -85,6 +85,14 @@ def test_many_copies_are_tied_to_the_first(spark):
     assert got == {("k000", f"k{i:03d}") for i in range(1, 200)} | {(f"k{i:03d}", "other") for i in range(200)}
 
 
+def test_query_gives_every_pair_of_large_classes(spark):
+    from codeloom.llm.queries import CODE
+
+    text = " ".join(f"a{i}" for i in range(40))
+    rows = [(f"k{i:03d}", text) for i in range(70)] + [(f"l{i:03d}", text + " tail") for i in range(66)]
+    assert found(spark, rows, CODE) == brute(rows, CODE) and len(brute(rows, CODE)) == 136 * 135 // 2
+
+
 def test_few_distinct_runs(spark):
     rng, rows = random.Random(8), []
     for i in range(150):  # cycles of two or three words and a tail: 2 to 6 distinct runs in 25 words and more
