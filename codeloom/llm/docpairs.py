@@ -181,6 +181,9 @@ _JS = (
 )
 _QUOTE = re.compile(r'^\s*[rRuUbBfF]{0,2}("""|\'\'\'|"|\'|`)')
 
+_QUIET = re.compile(r"""\"(?:\\.|[^"\\])*\"|'(?:\\.|[^'\\])*'|#.*|(?:^|\s)//\s.*""")
+_BRACKET = re.compile(r"[()\[\]{}]")
+
 
 def _head(lines: list[str], at: int) -> tuple[int, str]:
     """Line on which the brackets of a head close again, and what it holds."""
@@ -194,6 +197,25 @@ def _head(lines: list[str], at: int) -> tuple[int, str]:
         got.append(lines[i])
         if seen and depth <= 0 or (i == at and "(" not in lines[i]):
             return i, "\n".join(got)
+    return _long_head(lines, at) if at + 60 < len(lines) else (at, lines[at])
+
+
+def _long_head(lines: list[str], at: int) -> tuple[int, str]:
+    """``_head`` to the end of the text, without brackets in strings and comments; one line if they never close.
+
+    Another declaration or the end of the text says that they don't.
+    """
+    depth, seen = 0, False
+    for i in range(at, len(lines)):
+        if i > at and _PY.match(lines[i]):
+            break
+        for ch in _BRACKET.findall(_QUIET.sub("", lines[i])):
+            if ch in "([{" and not (ch == "{" and depth == 0):
+                depth, seen = depth + 1, True
+            elif ch in ")]}":
+                depth -= 1
+        if seen and depth <= 0:
+            return i, "\n".join(lines[at : i + 1])
     return at, lines[at]
 
 

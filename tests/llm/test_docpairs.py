@@ -66,6 +66,16 @@ def test_places(text, place):
     assert (got and got[0]) == place
 
 
+def test_long_heads():
+    plain = "".join(f"    a{i}: int = {i},\n" for i in range(61))
+    many = plain + "".join(f"    b{i}=({i}),  # :-) {i}\n    c{i}=')',\n" for i in range(30))
+    assert dp.documented("f", None, f'def f(\n{many}):\n    """{GOOD}"""\n    return a0')[0] == "body"
+    assert dp.documented("f", None, f'def f(\n{plain}) -> int:\n    """{GOOD}"""\n    return a0')[0] == "body"
+    assert dp.documented("f", None, f"# {GOOD}\n@cases(\n{plain})\ndef f(a):\n    return a")[0] == "comment"
+    open_ = "def g(\n" + "    a,\n" * 70 + f'def f(a):\n    """{GOOD}"""'
+    assert dp.documented("f", None, open_)[0] == "body"
+
+
 def test_stored_docstring_first():
     assert dp.documented("f", GOOD, "def f(): pass") == ("docstring", GOOD)
     assert dp.documented("f", "TODO", f"# {GOOD}\ndef f(): pass")[0] == "comment"
