@@ -63,13 +63,18 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    return quality.not_prose(docs, quality.rules_for(docs, table(spark, d, "doc_labels"))).select("doc_id")
+    return quality.quality_cases(table(spark, d, "documents"), table(spark, d, "doc_labels")).select("doc_id")
 
 
 def p9_figures(spark: SparkSession, d: str) -> DataFrame:
     """The statistics of every document."""
-    return quality.figures(table(spark, d, "documents"))
+    docs = table(spark, d, "documents")
+    return quality.figures(docs, quality.common_words(docs))
+
+
+def p9_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Those statistics that SQL can state."""
+    return p9_figures(spark, d).select("doc_id", "words", "mean_word", "longest_word", "unique_share", "digit_share", "wide_share", "lines", "words_per_line", "common_share")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs, p7_ids, p7_sizes, p8_mix, p8_shares, p9_found, p9_figures)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs, p7_ids, p7_sizes, p8_mix, p8_shares, p9_found, p9_figures, p9_counts)}

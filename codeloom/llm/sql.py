@@ -18,7 +18,25 @@ pair AS MATERIALIZED (
   SELECT id_a, id_b, a.class AS class_a, b.class AS class_b FROM shared s JOIN whole a ON a.id = s.id_a JOIN whole b ON b.id = s.id_b
   WHERE 10 * c >= 6 * (a.n + b.n - c))"""
 
+_WIDE = r"[\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
+_COUNTS = rf"""WITH doc AS (SELECT doc_id, coalesce(regexp_extract(lower(trim(lang, {_PAD})), '^([a-z]{{2}})', 1), '') AS lang, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents),
+word AS MATERIALIZED (SELECT doc_id, lang, t, regexp_extract_all(regexp_replace(t, '({_WIDE})', ' \1 ', 'g'), '[\p{{L}}\p{{M}}\p{{N}}_]+') AS w FROM doc),
+total AS (SELECT lang, count(*) AS docs FROM word WHERE trim(t, {_PAD}) <> '' GROUP BY 1),
+common AS (SELECT DISTINCT w FROM (SELECT lang, w, count(*) AS n FROM (SELECT DISTINCT doc_id, lang, lower(unnest(w)) AS w FROM word WHERE trim(t, {_PAD}) <> '') GROUP BY ALL) JOIN total USING (lang) WHERE n >= 5 AND n >= 0.4 * docs),
+hit AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, lower(unnest(w)) AS w FROM word) WHERE w IN (SELECT w FROM common) GROUP BY 1),
+one AS (SELECT doc_id, len(w)::DOUBLE AS words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::DOUBLE AS chars, coalesce(list_max(list_transform(w, lambda x: length(x))), 0)::DOUBLE AS longest_word,
+  len(list_distinct(list_transform(w, lambda x: lower(x))))::DOUBLE AS kinds, len(regexp_extract_all(t, '\p{{N}}'))::DOUBLE AS digits, len(regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{N}}\p{{P}}\p{{S}}]'))::DOUBLE AS solid,
+  len(regexp_extract_all(regexp_replace(t, '[^\p{{L}}\p{{M}}]+', '', 'g'), '{_WIDE}'))::DOUBLE AS wide, len(regexp_extract_all(t, '[\p{{L}}\p{{M}}]'))::DOUBLE AS letters,
+  len(list_filter(regexp_split_to_array(t, '[\n\x0b\x0c\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_matches(x, '[\p{{L}}\p{{M}}\p{{N}}\p{{P}}\p{{S}}]')))::DOUBLE AS lines FROM word)"""
+
+
+def _share(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN floor({a} / {b} * 1e4 + 0.5) / 1e4 ELSE 0 END"
+
+
 SQL: dict[str, str] = {
+    "p9_counts": f"""{_COUNTS} SELECT doc_id, words, {_share('chars', 'words')} AS mean_word, longest_word, {_share('kinds', 'words')} AS unique_share, {_share('digits', 'solid')} AS digit_share, {_share('wide', 'letters')} AS wide_share,
+      lines, {_share('words', 'lines')} AS words_per_line, {_share('coalesce(hit.n, 0)', 'words')} AS common_share FROM one LEFT JOIN hit USING (doc_id)""",
     "p2_found": f"{_RUNS} SELECT id_a, id_b FROM pair",
     "p2_groups": f"""{_RUNS}, class AS (SELECT class, min(id) AS class_id, count(*) AS copies FROM whole GROUP BY 1),
       ends AS (SELECT class_a AS class, class_b AS other FROM pair WHERE class_a <> class_b UNION SELECT class_b, class_a FROM pair WHERE class_a <> class_b),

@@ -1,4 +1,4 @@
-"""Figures by hand, rules on made data, and held-out accuracy on labelled documents."""
+"""Figures by hand, common words, rules on made data, held-out accuracy, and prose in languages without labels."""
 
 import numpy as np
 import pytest
@@ -6,62 +6,114 @@ from codeloom.llm import quality as q
 from compare import DATA
 
 PROSE = "If the shard has not changed since the last run, the indexer skips it.\nThe old notices stay as they are!"
+NONE = np.zeros(0, np.uint64)
+#: Short prose in languages and manners of which there are no labels.
+FOREIGN = [
+    "O índice foi reconstruído ontem à noite. Por isso as consultas demoraram um pouco mais do que o normal, mas os resultados estão certos.",
+    "Мы перенесли эту функцию в отдельный модуль, потому что от неё зависело слишком много файлов. После этого запросы снова работают быстро.",
+    "昨日、索引を作り直しました。そのため、検索に少し時間がかかりましたが、結果は正しいです。",
+    "Wczoraj przebudowaliśmy indeks. Dlatego zapytania trwały trochę dłużej niż zwykle, ale wyniki są poprawne.",
+    "L'indice è stato ricostruito ieri sera. Per questo le ricerche sono state più lente del solito.",
+    "Gisteren is de index opnieuw opgebouwd. Daarom duurden de zoekopdrachten iets langer dan normaal.",
+    "Rebuilt index. Queries slower today. Results fine. Will check logs tomorrow and report back.",
+]
+
+
+def read(spark, sf, t):
+    return spark.read.parquet(str(DATA / sf / f"{t}.parquet"))
 
 
 def fig(spark, *texts):
     df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, words string, lines string")
-    return {r.doc_id: r for r in q.figures(df).collect()}
+    return {r.doc_id: r for r in q.figures(df, NONE).collect()}
 
 
 def test_figures(spark):
-    f = fig(spark, PROSE, "a_b,12,3\r\nfooBar;;7", None, "", " \t\n　​", "如果文件没有变化，索引器会跳过它。", "ok " * 50_000, "\x00\x07|||")
+    f = fig(spark, PROSE, "a_b,12,3\r\nfooBar;;7", None, "", " \t\n　​", "如果文件没有变化，索引器会跳过它。", "ok " * 50_000, "\x00\x07|||", "a  b\tc\n  d\n\n- x\n" + PROSE)
     p = f[0]
-    assert p.words == 21 and p.ending_lines == 1.0 and p.common_share > 0.5 and p.prose_share == 1.0 and p.symbol_share < 0.1
+    assert p.words == 21 and p.ending_lines == 1.0 and p.sentence_share == 1.0 and p.symbol_share == 0.0 and p.lines == 2
     assert p.mean_word == pytest.approx(sum(len(w) for w in PROSE.replace(",", "").replace(".", "").replace("!", "").split()) / 21, abs=1e-3)
     t = f[1]
-    assert t.words == 5 and t.digit_share == pytest.approx(4 / 17, abs=1e-3) and t.name_share == pytest.approx(2 / 5) and t.prose_share == 0 and t.words_per_line == 2.5
+    assert t.words == 5 and t.digit_share == pytest.approx(4 / 17, abs=1e-3) and t.name_share == pytest.approx(2 / 5) and t.sentence_share == 0 and t.words_per_line == 2.5
     assert f[2].blank and f[3].blank and f[4].blank and f[2].words == 0 and f[4].mean_word == 0
-    assert f[5].wide_share > 0.8 and f[5].common_share > 0.3 and f[5].prose_share == 1.0
-    assert f[6].words == 50_000 and f[6].unique_share == 0.0
+    assert f[5].wide_share == 1.0 and f[5].sentence_share == 1.0 and f[5].words == 15
+    assert f[6].words == 50_000 and f[6].unique_share == 0.0 and f[6].longest_word == 2
     assert not f[7].blank and f[7].words == 0
+    assert f[8].gap_share == pytest.approx(2 / 26, abs=1e-3) and f[8].lines == 5 and 0.8 < f[8].sentence_share < 1.0
+
+
+def test_batches_do_not_matter(spark):
+    texts = [r.text for r in read(spark, "sf0.001", "documents").select("text").collect()] + [PROSE * 3_000]
+    whole = q.measure([t or "" for t in texts], NONE)
+    for i, t in enumerate(texts):
+        one = q.measure([t or ""], NONE)
+        assert all(one[f][0] == whole[f][i] for f in q.FIGURES), i
+    assert [s for s in q._parts(["ab", None, "c" * 9, "d"], most=5)] == [slice(0, 3), slice(3, 4)] and not list(q._parts([]))
 
 
-def test_rules_learn_and_prune():
+def test_common_words(spark):
+    rows = [(i, f"The word{i % 7} is here, {'tomorrow' if i % 2 else 'today'} w{i}", "EN") for i in range(60)] + [(100 + i, "der Hund", " de-AT") for i in range(3)] + [(200, None, "en"), (201, " ", None)]
+    got = q.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    at = lambda w: int(q.read_texts([w]).word[0]) in set(got.tolist())
+    assert at("the") and at("IS") and at("here") and at("today") and not at("word1") and not at("w5") and not at("hund")
+    assert len(q.common_words(spark.createDataFrame([], "doc_id long, text string, lang string"))) == 0
+    assert len(q.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string").drop("lang"))) == len(got)
+
+
+def test_rules_learn_and_have_two_witnesses():
     rng = np.random.default_rng(0)
-    x = np.zeros((600, len(q.FIGURES)))
-    x[:, :] = rng.random(x.shape)
+    x = rng.random((600, len(q.FIGURES)))
     a, b = q.FIGURES.index("common_share"), q.FIGURES.index("digit_share")
-    y = (x[:, a] < 0.2) | (x[:, b] > 0.9)
+    y = (x[:, a] < 0.2) & (x[:, b] > 0.2) | (x[:, b] > 0.9) & (x[:, a] < 0.9)
     rules = q.induce(x, y)
     hit = np.zeros(len(y), bool)
     for r in rules:
         hit |= q.covers(r, x)
-    assert (hit == y).mean() > 0.97 and len(rules) <= 6
+        assert not q._lacks(r)
+    assert (hit == y).mean() > 0.95
     assert q.case_sql(rules).count("WHEN") == len(rules) + 1
 
 
 def test_without_labels_there_are_no_cases(spark):
     docs = spark.createDataFrame([(1, "text"), (2, None)], "doc_id long, text string")
     for rows in ([], [(1, None)], [(1, "prose")], [(1, "prose"), (1, "other")]):
-        rules = q.rules_for(docs, spark.createDataFrame(rows, "doc_id long, label string"))
-        assert rules == [] and q.not_prose(docs, rules).count() == 0
-    assert q.not_prose(docs.limit(0), []).count() == 0
+        assert q.quality_cases(docs, spark.createDataFrame(rows, "doc_id long, label string")).count() == 0
+    assert q.not_prose(docs.limit(0), [], NONE).count() == 0
+
 
+@pytest.fixture(scope="module")
+def learned(spark):
+    docs = read(spark, "sf0.1", "documents")
+    common = q.common_words(docs)
+    return common, *q.labelled(docs, read(spark, "sf0.1", "doc_labels"), common)
 
-def test_held_out_accuracy(spark):
-    read = lambda sf, t: spark.read.parquet(str(DATA / sf / f"{t}.parquet"))
-    rules = q.induce(*q.labelled(read("sf0.1", "documents"), read("sf0.1", "doc_labels")))
-    x, y = q.labelled(read("check_s", "documents"), read("check_s", "doc_labels"))
+
+def test_held_out_accuracy(learned):
+    """Five folds of the labels: rules of four parts are held against the fifth."""
+    _, x, y = learned
+    fold = np.random.default_rng(3).integers(0, 5, len(y))
     hit = np.zeros(len(y), bool)
-    for r in rules:
-        hit |= q.covers(r, x)
+    for k in range(5):
+        for r in q.induce(x[fold != k], y[fold != k]):
+            hit |= q.covers(r, x) & (fold == k)
     assert (hit & y).sum() / y.sum() >= 0.95 and (hit & y).sum() / hit.sum() >= 0.95
 
 
+def test_prose_of_other_languages_is_no_case(learned):
+    common, x, y = learned
+    rules = q.induce(x, y)
+    m = q.measure([*FOREIGN, "broken mutable cycle notice profile parcel contract panel lookup shallow ticket stage", "gulgul misno rin boqui ven fragul wex"], common)
+    rows = np.array([m[f] for f in q.FIGURES]).T
+    hit = np.zeros(len(rows), bool)
+    for r in rules:
+        hit |= q.covers(r, rows)
+    assert hit.tolist() == [False] * len(FOREIGN) + [True, True]
+
+
 def test_sql_and_python_agree(spark):
-    docs = spark.read.parquet(str(DATA / "sf0.01" / "documents.parquet"))
-    rule = (q.Test("common_share", True, 0.27), q.Test("words", False, 3.0))
-    got = {r.doc_id for r in q.not_prose(docs, [rule]).collect()}
-    rows = q.figures(docs).where("not blank").collect()
+    docs = read(spark, "sf0.01", "documents")
+    rule = (q.Test("sentence_share", True, 0.27), q.Test("words", False, 3.0))
+    got = {r.doc_id for r in q.not_prose(docs, [rule], NONE).collect()}
+    rows = q.figures(docs, NONE).where("not blank").collect()
     x = np.array([[r[f] for f in q.FIGURES] for r in rows])
     assert got == {r.doc_id for r, h in zip(rows, q.covers(rule, x)) if h}
