@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.normal import filled, norm_id
-from codeloom.session import ship, spread
+from codeloom.session import materialize, release, ship, spread
 
 FIGURES = (
     "words", "mean_word", "longest_word", "unique_share", "name_share", "symbol_share", "digit_share", "upper_share", "wide_share",
@@ -128,14 +128,14 @@ def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.floor(np.divide(a, b, out=np.zeros(len(b)), where=b > 0) * 1e4 + 0.5) / 1e4
 
 
-def measure(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
-    """FIGURES of each text; ``common`` holds sorted hashes of words."""
+def measure(texts: list[str], common: np.ndarray, want: tuple[str, ...] = FIGURES) -> dict[str, np.ndarray]:
+    """The figures ``want`` and lines of each text; ``common`` holds sorted hashes of words."""
     n = len(texts)
     if not n:
-        return {f: np.zeros(0) for f in FIGURES}
+        return {f: np.zeros(0) for f in (*want, "lines")}
     r = read_texts(texts)
     k, idx = r.kind, np.arange(len(r.kind))
-    total = lambda flag: np.add.reduceat(flag.astype(np.int64), r.start).astype(float)
+    total = lambda flag: np.add.reduceat(flag, r.start, dtype=np.int64).astype(float)
     per = lambda rows, weights=None: np.bincount(rows, weights, n).astype(float)
     solid_at = (k != _SPACE) & (k != _LINE) & (k != _NONE)
     letter = (k == _LOWER) | (k == _UPPER) | (k == _WIDE)
@@ -146,8 +146,10 @@ def measure(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
     size = (r.last - r.first).astype(float)
     words = per(r.doc)
     longest = np.zeros(n)
-    np.maximum.at(longest, r.doc, size)
-    once = r.once()
+    if "longest_word" in want and len(size):
+        some, at = np.unique(r.doc, return_index=True)
+        longest[some] = np.maximum.reduceat(size, at)
+    once = r.once() if "unique_share" in want else np.zeros(0, np.int64)
     inner = np.zeros(len(k), bool)
     inner[1:] = (k[1:] == _UPPER) & (k[:-1] == _LOWER)
     inner |= r.code == ord("_")
@@ -173,43 +175,56 @@ def measure(texts: list[str], common: np.ndarray) -> dict[str, np.ndarray]:
     mean, square = per(of[row], held[row]), per(of[row], held[row].astype(float) ** 2)
     m = np.divide(mean, lines, out=np.zeros(n), where=lines > 0)
     spread_ = np.sqrt(np.maximum(np.divide(square, lines, out=np.zeros(n), where=lines > 0) - m * m, 0.0))
-    # wide gaps between what stands on one line
+    gap = _gaps(r, solid_at) if {"gap_share", "sentence_share"} & {*want} else np.zeros(len(k), bool)
+    told = _told(r, solid_at, letter, gap, begin, ends, row, n) if "sentence_share" in want else np.zeros(n)
+    out = {
+        "words": words, "mean_word": _share(per(r.doc, size), words), "longest_word": longest, "unique_share": _share(per(r.doc[once]), words),
+        "name_share": _share(per(r.doc[named]), words), "symbol_share": _share(symbols, solid), "digit_share": _share(total(digit), solid),
+        "upper_share": _share(total(k == _UPPER), letters), "wide_share": _share(total(k == _WIDE), letters), "lines": lines, "words_per_line": _share(words, lines),
+        "line_spread": _share(spread_, m), "ending_lines": _share(ending, lines), "gap_share": _share(total(gap), words), "sentence_share": _share(told, solid),
+        "common_share": _share(per(r.doc[hit]), words), "known_share": _share(per(of, known), solid),
+    }
+    return {f: out[f] for f in (*want, "lines")}
+
+
+def _gaps(r: Read, solid_at: np.ndarray) -> np.ndarray:
+    """Where wide gaps between what stands on one line end."""
+    k, idx = r.kind, np.arange(len(r.kind))
     gap = np.zeros(len(k), bool)
     gap[2:] = (k[2:] != _SPACE) & (k[2:] != _LINE) & (k[1:-1] == _SPACE) & (k[:-2] == _SPACE)
-    tab = np.zeros(len(k), bool)
-    tab[1:-1] = (r.code[1:-1] == 9) & (k[:-2] != _LINE) & (k[2:] != _LINE)
-    led = np.maximum.accumulate(np.where(line_at, idx, -1))  # the line's start
-    said = np.maximum.accumulate(np.where(solid_at, idx, -1))
-    said_before = np.concatenate([[-1, -1], said[:-2]])[: len(k)]
-    gap = (gap | tab) & (said_before > led)
-    # sentences: what an end closes, cut at blank lines
+    gap[1:-1] |= (r.code[1:-1] == 9) & (k[:-2] != _LINE) & (k[2:] != _LINE)
+    at = np.flatnonzero(gap)
+    led = np.maximum.accumulate(np.where(k == _LINE, idx, -1))[at]
+    said = np.maximum.accumulate(np.where(solid_at, idx, -1))[np.maximum(at - 2, 0)]
+    gap[at] = said > led
+    return gap
+
+
+def _told(r: Read, solid_at: np.ndarray, letter: np.ndarray, gap: np.ndarray, begin: np.ndarray, ends: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Characters of each text in sentences: what an end closes, cut at blank lines (lines from begin to ends; row: not blank)."""
+    k = r.kind
     nxt = np.full(len(k), _LINE, np.uint8)
     nxt[:-1] = k[1:]
-    wide_end = np.isin(r.code, [ord(c) for c in _WIDE_ENDS])
-    stop = (k == _END) & (((nxt == _SPACE) | (nxt == _LINE) | (nxt == _CLOSE)) | wide_end)
+    stop = k == _END
+    at = np.flatnonzero(stop)
+    stop[at] = (nxt[at] == _SPACE) | (nxt[at] == _LINE) | (nxt[at] == _CLOSE) | np.isin(r.code[at], [ord(c) for c in _WIDE_ENDS])
     cut = np.zeros(len(k) + 1, bool)
     cut[r.start] = True
     cut[1:] |= stop
-    blank = ~row
-    cut[begin[blank]] = True
-    cut[ends[blank] + 1] = True
+    cut[begin[~row]] = True
+    cut[ends[~row] + 1] = True
     at = np.flatnonzero(cut[:-1])
-    seg = lambda flag: np.add.reduceat(flag.astype(np.int64), at)
     starts = np.zeros(len(k), bool)
     starts[r.first] = True
     to = np.append(at[1:], len(k))
-    s_words, s_solid, s_lines = seg(starts), seg(solid_at), seg(line_at)
+
+    def seg(flag: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(flag, at, dtype=np.int64)
+
+    s_words, s_solid, s_lines = seg(starts), seg(solid_at), seg(k == _LINE)
     plain = (seg(letter) >= 0.8 * s_solid) & (seg(gap) <= 0.1 * s_words)
     sentence = stop[to - 1] & plain & (s_words >= np.maximum(3, 3 * s_lines)) & (s_words <= 120)
-    told = per(np.searchsorted(r.start, at, "right") - 1, np.where(sentence, s_solid, 0))
-    out = {
-        "words": words, "mean_word": _share(per(r.doc, size), words), "longest_word": longest, "unique_share": _share(per(r.doc[once]), words),
-        "name_share": _share(per(r.doc[named]), words), "symbol_share": _share(symbols, solid), "digit_share": _share(total(digit), solid),
-        "upper_share": _share(total(k == _UPPER), letters), "wide_share": _share(total(k == _WIDE), letters), "lines": lines, "words_per_line": _share(words, lines),
-        "line_spread": _share(spread_, m), "ending_lines": _share(ending, lines), "gap_share": _share(total(gap), words), "sentence_share": _share(told, solid),
-        "common_share": _share(per(r.doc[hit]), words), "known_share": _share(per(of, known), solid),
-    }
-    return out
+    return np.bincount(np.searchsorted(r.start, at, "right") - 1, np.where(sentence, s_solid, 0), n).astype(float)
 
 
 def _parts(texts: list[str | None], most: int = 1_000_000) -> Iterator[slice]:
@@ -269,14 +284,16 @@ def common_words(documents: DataFrame, text: str = "text", lang: str = "lang") -
             yield pa.RecordBatch.from_arrays([pa.array([c] * (len(u) + 1)), pa.array([None, *u.view(np.int64).tolist()], pa.int64()), pa.array([docs[c], *m.tolist()], pa.int64())], names=["lang", "word", "n"])
 
     counts = rows.mapInArrow(count, "lang string, word long, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_LEAST)
+    counts = materialize(counts, "counts")
     # a language's total is the greatest of its counts
     most = counts.where("word is null").select("lang", F.col("n").alias("docs"))
     found = counts.where("word is not null").join(F.broadcast(most), "lang").where(F.col("n") >= COMMON_IN * F.col("docs")).select("word").distinct().collect()
+    release(counts)
     return np.sort(np.array([x.word for x in found], np.int64).view(np.uint64))
 
 
-def figures(documents: DataFrame, common: np.ndarray, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, *keep, *FIGURES, blank): the statistics of each document.
+def figures(documents: DataFrame, common: np.ndarray, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), want: tuple[str, ...] = FIGURES) -> DataFrame:
+    """(key, *keep, *want, blank): the statistics of each document.
 
     words, mean_word (characters a word), longest_word, unique_share (distinct
     words), name_share (words with _ or inner capitals); of the characters that
@@ -299,12 +316,12 @@ def figures(documents: DataFrame, common: np.ndarray, key: str = "doc_id", text:
             texts = b.column(1).to_pylist()
             for part in _parts(texts):
                 some = b.slice(part.start, part.stop - part.start)
-                got = measure([t or "" for t in texts[part]], shared.value)
-                cols = [some.column(0), *(some.column(2 + i) for i in range(len(keep))), *(pa.array(got[f], pa.float64()) for f in FIGURES), pa.array(got["lines"] == 0)]
-                yield pa.RecordBatch.from_arrays(cols, names=[key, *keep, *FIGURES, "blank"])
+                got = measure([t or "" for t in texts[part]], shared.value, want)
+                cols = [some.column(0), *(some.column(2 + i) for i in range(len(keep))), *(pa.array(got[f], pa.float64()) for f in want), pa.array(got["lines"] == 0)]
+                yield pa.RecordBatch.from_arrays(cols, names=[key, *keep, *want, "blank"])
 
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in (key, *keep)]
-    return rows.mapInArrow(run, ", ".join([*kinds, *(f"{f} double" for f in FIGURES), "blank boolean"]))
+    return rows.mapInArrow(run, ", ".join([*kinds, *(f"{f} double" for f in want), "blank boolean"]))
 
 
 # ---------------------------------------------------------------- rules
@@ -444,11 +461,12 @@ def rules_for(documents: DataFrame, doc_labels: DataFrame, common: np.ndarray, s
 
 
 def not_prose(documents: DataFrame, rules: list[Rule], common: np.ndarray) -> DataFrame:
-    """(doc_id, *FIGURES): documents that the rules take for something other than prose."""
-    return figures(documents, common).where(F.expr(case_sql(rules)))
+    """(doc_id, figures of the rules): documents that the rules take for something other than prose."""
+    read = tuple(f for f in FIGURES if any(t.figure == f for rule in rules for t in rule))
+    return figures(documents, common, want=read).where(F.expr(case_sql(rules)))
 
 
 def quality_cases(documents: DataFrame, doc_labels: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """(doc_id, *FIGURES): common words from all documents, rules from the labelled ones, applied to all."""
+    """(doc_id, figures of the rules): common words from all documents, rules from the labelled ones, applied to all."""
     common = common_words(documents)
     return not_prose(documents, rules_for(documents, doc_labels, common, sample_rows), common)
