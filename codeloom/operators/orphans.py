@@ -83,10 +83,14 @@ def _attach(used: DataFrame, suspects: DataFrame) -> DataFrame:
 
 
 def orphan_report(edges: DataFrame, nodes: DataFrame, boundary: DataFrame) -> DataFrame:
-    """(relation, side, reason, month, orphans): counts by month in which the edge landed."""
+    """(relation, side, tbl, reason, month, orphans): counts by month in which the edge landed.
+
+    ``tbl`` is the table that holds the parent, removed or late; ``none`` if no table does.
+    """
     month = F.date_format("landed_at", "yyyy-MM")
+    tbl = F.when(F.col("reason") == "missing", "none").otherwise("nodes")
     return (
         orphan_references(edges, nodes, boundary)
-        .groupBy("relation", "side", "reason", month.alias("month"))
+        .groupBy("relation", "side", tbl.alias("tbl"), "reason", month.alias("month"))
         .agg(F.count(F.lit(1)).alias("orphans"))
     )

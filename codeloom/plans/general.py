@@ -117,5 +117,5 @@ SQL = {
     "p5_found": f"{_CHANGES} SELECT run_id, tbl, rec FROM changed",
     "p5_batches": f"{_CHANGES} SELECT run_id, tbl, count(*) AS changed, count(*) FILTER (WHERE state IS NULL) AS gone FROM changed GROUP BY 1, 2",
     "p6_found": f"{_ORPHANS} SELECT src, dst, relation, side FROM found",
-    "p6_report": f"{_ORPHANS} SELECT relation, side, reason, strftime(landed_at, '%Y-%m') AS month, count(*) AS orphans FROM found GROUP BY 1, 2, 3, 4",
+    "p6_report": f"{_ORPHANS} SELECT relation, side, CASE WHEN reason = 'missing' THEN 'none' ELSE 'nodes' END AS tbl, reason, strftime(landed_at, '%Y-%m') AS month, count(*) AS orphans FROM found GROUP BY 1, 2, 3, 4, 5",
 }

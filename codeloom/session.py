@@ -66,6 +66,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder, deleted by ``sweep`` and at the end."""
+    path = new_path(spark, name)
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -187,8 +187,42 @@ def test_capture_equals_the_history(spark, tmp_path):
         c.run({"f": log_of(spark, [r for r in rows if r[3] <= T(d)])})
     df = spark.createDataFrame([(d, T(d), None, "succeeded") for d in ends], RUN)
     want = sorted((r.run_id, r.rec) for r in changes.changes_by_run(df, {"f": log_of(spark, rows)}).collect())
-    taken = c._sink([1, 2, 3]).where("changed").collect()
-    assert sorted((ends[r.batch - 1], r.key) for r in taken) == want
+    assert sorted((ends[r.batch - 1], r.key) for r in c.taken().collect()) == want
+
+
+def test_capture_replays_a_history_that_failed(spark, tmp_path):
+    """Lost between sink and commit: the plans stand, the second attempt overwrites, and more runs may have been planned meanwhile."""
+    rows = [("a", "1", T(1), T(1)), ("a", "2", T(2), T(2)), ("b", "1", T(3), T(3)), ("a", "1", T(4), T(4)), ("b", "2", T(5), T(5))]
+    at = lambda d: changes.successful_runs(spark.createDataFrame([(d, T(d), None, "succeeded")], RUN))
+    c = changes.ChangeCapture(spark, f"file://{tmp_path}/c")
+    logs = {"f": log_of(spark, rows)}
+    c.plan_ahead(logs, at(1) + at(2))
+    with pytest.raises(RuntimeError):
+        c.replay(logs, lambda df: (_ for _ in ()).throw(RuntimeError("lost")))
+    assert c.taken().count() == 0 and [p.batch for p in c.pending()] == [1, 2]
+    c = changes.ChangeCapture(spark, f"file://{tmp_path}/c")  # the driver was lost as well
+    c.plan_ahead(logs, at(3))
+    late = {"f": log_of(spark, [*rows, ("c", "1", T(2), T(3))])}  # lands on the last plan's own end, after it was made
+    assert [p.run for p in c.replay(late)] == [1, 2, 3]
+    got = lambda: sorted((r.run, r.key, r.state) for r in c.taken().collect())
+    assert got() == [(1, "a", "1"), (2, "a", "2"), (3, "b", "1"), (3, "c", "1")]
+    assert c.replay(late) == [] and c.pending() == []
+    c.compact()
+    later = {"f": log_of(spark, [*rows, ("c", "1", T(2), T(3)), ("d", "1", T(3), T(3))])}  # again on the end, after the commit
+    c.plan_ahead(later, at(5))
+    c.replay(later)
+    assert got() == [(1, "a", "1"), (2, "a", "2"), (3, "b", "1"), (3, "c", "1"), (5, "a", "1"), (5, "b", "2"), (5, "d", "1")]
+    c.compact()
+    assert c.run({"f": log_of(spark, [("b", "2", T(6), T(6))])}).batch == 5 and len(got()) == 7
+
+
+def test_capture_plans_hold_what_each_partition_reached(spark, tmp_path):
+    rows = log_of(spark, [("a", "1", T(1), T(1)), ("b", "1", T(1), T(3)), ("s", "1", T(1), T(2))]).withColumn("part", F.when(F.col("key") == "s", "slow"))
+    c = changes.ChangeCapture(spark, f"file://{tmp_path}/c")
+    day = lambda d: 1735603200_000_000 + d * 86_400_000_000
+    plans = c.plan_ahead({"f": rows}, [(7, day(1)), (8, day(2)), (9, day(9))])
+    assert [p.high["f"] for p in plans] == [{"": day(1)}, {"": day(1), "slow": day(2)}, {"": day(3), "slow": day(2)}]
+    assert [p.low["f"] for p in plans] == [{}, {"": day(1)}, {"": day(1), "slow": day(2)}] and c.plans() == plans
 
 
 def test_skewed_parent(spark):
