@@ -2,10 +2,12 @@
 
 From the source text of a symbol its declarations and comments are read: comment
 blocks above a declaration (and above its decorators) and strings that open a
-body.  Comments and declarations are matched by a maximum-weight bipartite
-assignment over distance, parameter tags and shared names; links of too little
-weight are rejected, as are descriptions that say nothing.  The stored docstring
-comes first, since the indexer took it from the symbol itself.
+body.  Descriptions that say nothing are rejected first.  The other comments and
+the declarations are matched by a maximum-weight bipartite assignment over
+distance, parameter tags and shared names; links of too little weight are
+implausible and don't take part.  Tags and names decide between rivals and carry
+a link over a gap.  The stored docstring is the strongest link, since the indexer
+took it from the symbol itself.
 
 A description is trivial if fewer than four words remain without marks and tag
 lines, or if it repeats the symbol's name, holds a place, directs a tool or is
@@ -19,7 +21,8 @@ whole; rows that aren't functions or methods give nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -226,8 +229,8 @@ def _params(head: str) -> tuple[str, ...]:
     return tuple(m[1] for m in names if m and m[1] not in ("self", "cls", "this"))
 
 
-def read_source(text: str) -> tuple[list[Decl], list[Comment]]:
-    """Declarations and comments of a source text, by line."""
+def read_source(text: str) -> tuple[list[Decl], list[Comment], list[bool]]:
+    """Declarations and comments of a source text, by line, and which lines are blank."""
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     decls: list[Decl] = []
     comments: list[Comment] = []
@@ -275,7 +278,7 @@ def read_source(text: str) -> tuple[list[Decl], list[Comment]]:
             i += 1
         if s:
             top = None
-    return decls, comments
+    return decls, comments, [not x.strip() for x in lines]
 
 
 def _string(lines: list[str], at: int, quote: str) -> tuple[str, int] | None:
@@ -298,26 +301,79 @@ def _string(lines: list[str], at: int, quote: str) -> tuple[str, int] | None:
     return "\n".join(got), j
 
 
-def weight(c: Comment, d: Decl) -> float:
-    """How well a comment fits a declaration; below 1 - anywhere but next to it - the link is implausible."""
-    if c.opens:
-        gap = 0 if c.of == d.line else max(1, c.first - d.end - 1)
-        gap = gap if c.first >= d.end else None
-    else:
-        gap = d.top - c.last - 1
-        if d.top <= c.first and c.last < d.line:
-            gap = d.line - c.last - 1  # between decorators and declaration
-    if gap is None or gap < 0:
-        return 0.0
-    tags = set(re.findall(r"(?:[@\\]param|:param)\s+(?:\{[^}]*\}\s*)?\[?([\w$]+)", c.text))
-    fit = len(tags & set(d.params)) / max(1, len(tags)) if tags else 0.0
-    words = {w.lower() for x in _WORD.findall(c.text) for w in _CAMEL.findall(x)}
-    of = name_words(d.name)
-    return 1.5 / (1 + 4 * gap) + 0.3 * fit + 0.2 * len(words & of) / max(1, len(of))
+@dataclass(frozen=True)
+class Link:
+    comment: int
+    decl: int
+    weight: float
+    direct: bool  # nothing but comments and decorators lies between
+
+
+_PARAM = re.compile(r"(?:[@\\]param|:param)\s+(?:\{[^}]*\}\s*)?(?:[\w.\[\]]+\s+(?=\w+\s*:))?\[?([\w$]+)")
+_LEAST = 1.0  # links of less weight are implausible
+
 
+def links_of(decls: list[Decl], comments: list[Comment], blank: list[bool], others: Sequence[Comment] = ()) -> list[Link]:
+    """Plausible links of informative comments to declarations; ``blank`` tells which lines hold nothing, ``others`` say nothing.
 
-def assign(w: np.ndarray, least: float = 1.0) -> dict[int, int]:
-    """Row to column of a maximum-weight bipartite matching; links under ``least`` don't count.
+    The weight is distance - above 1 only where nothing but comments, decorators
+    and tool directives lies between, else 1 by the lines between, code counting
+    for three - and evidence: up to 0.6 for parameter tags that name parameters
+    and up to 0.4 for words of the declaration's name.  So tags and names carry a
+    link over a gap.  A comment meets the next declaration below, and those
+    further down whose parameters its tags all name.
+    """
+    out: list[Link] = []
+    if not decls or not comments:
+        return out
+    by_line = {d.line: i for i, d in enumerate(decls)}
+    tops = [d.top for d in decls]
+    with_param: dict[str, list[int]] = {}
+    for i, d in enumerate(decls):
+        for x in d.params:
+            with_param.setdefault(x, []).append(i)
+    code = np.ones(len(blank) + 1, np.int64)  # weight of a line as part of a gap
+    code[: len(blank)] = np.where(blank, 1, 3)
+    for c in (*comments, *others):
+        code[c.first : c.last + 1] = 0
+    for d in decls:
+        code[d.top : d.line] = np.where(code[d.top : d.line] == 1, 1, 0)
+    way = np.concatenate([[0], np.cumsum(code)])
+    starts = [c.first for c in comments if not c.opens]
+    for j, c in enumerate(comments):
+        if c.opens:
+            if c.of in by_line:  # a string that opens a body belongs nowhere else
+                out.append(Link(j, by_line[c.of], 1.1 + _evidence(c, decls[by_line[c.of]]), True))
+            continue
+        tags = set(_PARAM.findall(c.text))
+        around = bisect_right(tops, c.first) - 1
+        inside = around >= 0 and tops[around] <= c.first and c.last < decls[around].line
+        nxt = around if inside else around + 1  # between decorators and declaration, or above
+        some = {nxt} if nxt < len(decls) else set()
+        if tags:
+            far = set.intersection(*(set(with_param.get(t, ())) for t in tags))
+            some |= {i for i in far if tops[i] > c.last}
+        for i in some:
+            d = decls[i]
+            gap = int(way[d.line if inside and i == around else d.top] - way[c.last + 1])
+            between = bisect_right(starts, d.line) - bisect_right(starts, c.first)
+            near = max(1.0, 1.05 - 0.01 * between) if gap == 0 else 1 / (1 + gap)
+            w = near + _evidence(c, d, tags)
+            if w >= _LEAST:
+                out.append(Link(j, i, w, gap == 0))
+    return out
+
+
+def _evidence(c: Comment, d: Decl, tags: set[str] | None = None) -> float:
+    tags = set(_PARAM.findall(c.text)) if tags is None else tags
+    fit = len(tags & set(d.params)) / len(tags) if tags else 0.0
+    of = {_root(w) for w in name_words(d.name)}
+    words = {_root(w.lower()) for x in _WORD.findall(c.text) for w in _CAMEL.findall(x)} if of else set()
+    return 0.6 * fit + 0.4 * len(words & of) / max(1, len(of))
+
+
+def assign(w: np.ndarray) -> dict[int, int]:
+    """Row to column of a maximum-weight bipartite matching; links of weight 0 don't count.
 
     The Hungarian method with potentials, on the matrix padded to a square.
     """
@@ -325,7 +381,7 @@ def assign(w: np.ndarray, least: float = 1.0) -> dict[int, int]:
     if not n:
         return {}
     cost = np.zeros((n + 1, n + 1))
-    cost[1 : w.shape[0] + 1, 1 : w.shape[1] + 1] = -np.where(w >= least, w, 0.0)
+    cost[1 : w.shape[0] + 1, 1 : w.shape[1] + 1] = -w
     u, v, of, way = np.zeros(n + 1), np.zeros(n + 1), np.zeros(n + 1, int), np.zeros(n + 1, int)
     for r in range(1, n + 1):
         of[0], c = r, 0
@@ -348,34 +404,61 @@ def assign(w: np.ndarray, least: float = 1.0) -> dict[int, int]:
         while c:
             of[c] = of[way[c]]
             c = way[c]
-    return {int(of[c]) - 1: c - 1 for c in range(1, n + 1) if of[c] - 1 < w.shape[0] and c - 1 < w.shape[1] and w[of[c] - 1, c - 1] >= least}
+    return {int(of[c]) - 1: c - 1 for c in range(1, n + 1) if of[c] - 1 < w.shape[0] and c - 1 < w.shape[1] and w[of[c] - 1, c - 1] > 0}
+
 
+def match(links: list[Link]) -> list[Link]:
+    """The links of a maximum-weight assignment, solved for each connected component by itself."""
+    head: dict[tuple[str, int], tuple[str, int]] = {}
 
-def documented(name: str | None, docstring: str | None, raw_text: str | None) -> tuple[str, str] | None:
-    """(place, description) of a function, or null: place is docstring, body or comment."""
+    def find(x: tuple[str, int]) -> tuple[str, int]:
+        while head.setdefault(x, x) != x:
+            head[x] = x = head[head[x]]
+        return x
+
+    for k in links:
+        head[find(("d", k.decl))] = find(("c", k.comment))
+    parts: dict[tuple[str, int], list[Link]] = {}
+    for k in links:
+        parts.setdefault(find(("d", k.decl)), []).append(k)
+    out = []
+    for part in parts.values():
+        if len(part) == 1:
+            out += part
+            continue
+        rows, cols = sorted({k.decl for k in part}), sorted({k.comment for k in part})
+        w = np.zeros((len(rows), len(cols)))
+        at = {}
+        for k in part:
+            i, j = rows.index(k.decl), cols.index(k.comment)
+            w[i, j], at[i, j] = k.weight, k
+        out += [at[i, j] for i, j in assign(w).items()]
+    return out
+
+
+def documented(name: str | None, docstring: str | None, raw_text: str | None) -> tuple[str, str, bool] | None:
+    """(place, description, direct) of a function, or null: place is docstring, body or comment.
+
+    A declaration takes one description: the string that opens its body and the
+    comments above are rivals for it.  The stored docstring was linked to its symbol
+    by the indexer: that link outweighs all others of the symbol, so it is in every
+    best assignment and is taken before the text is read.
+    """
     if said := description(docstring, name):
-        return "docstring", said
+        return "docstring", said, True
     if not raw_text:
         return None
-    decls, comments = read_source(raw_text)
+    decls, comments, blank = read_source(raw_text)
     if not decls or not comments:
         return None
     own = next((i for i, d in enumerate(decls) if d.name == name), 0)
-    # a declaration has at most one comment above and one string inside
-    for opens, place in ((True, "body"), (False, "comment")):
-        some = [c for c in comments if c.opens == opens]
-        if not some:
-            continue
-        if len(some) == 1 and len(decls) == 1:
-            hit = some[0] if weight(some[0], decls[0]) >= 1.0 else None
-        else:
-            near = [c for c in some if weight(c, decls[own]) >= 1.0]
-            if not near:
-                continue
-            links = assign(np.array([[weight(c, d) for c in some] for d in decls]))
-            hit = some[links[own]] if own in links else None
-        if hit and (said := description(hit.text, name)):
-            return place, said
+    names = {d.line: d.name for d in decls}
+    after = {c: decls[i].name for c, i in ((c, bisect_right([d.top for d in decls], c.first)) for c in comments) if i < len(decls)}
+    say = lambda c: description(c.text, names.get(c.of) if c.opens else (name if after.get(c) == decls[own].name else after.get(c)))
+    told = [c for c in comments if say(c)]
+    hit = next((k for k in match(links_of(decls, told, blank, comments)) if k.decl == own), None)
+    if hit and (said := description(told[hit.comment].text, name)):
+        return "body" if told[hit.comment].opens else "comment", said, hit.direct
     return None
 
 
@@ -388,12 +471,15 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [documented(n, d, r) if code else None for code, n, d, r in zip(*cols)]
         place = pa.array([g and g[0] for g in got], pa.string())
         said = pa.array([g and g[1] for g in got], pa.string())
+        direct = pa.array([g and g[2] for g in got], pa.bool_())
         keep = [i for i, x in enumerate(b.schema.names) if x not in ("docstring",)]
-        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), place, said], names=[*(b.schema.names[i] for i in keep), "place", "description"])
+        yield pa.RecordBatch.from_arrays([*(b.column(i) for i in keep), place, said, direct], names=[*(b.schema.names[i] for i in keep), "place", "description", "direct"])
 
 
 def function_docs(nodes: DataFrame, with_text: bool = True) -> DataFrame:
-    """(id, place[, code, signature, description]) of each current function or method that has a description.
+    """(id, place, direct[, code, signature, description]) of each current function or method that has a description.
+
+    ``direct`` is false where parameter tags and names carried a comment over a gap.
 
     Descriptions are read before the versions of an id are compared, so that
     without texts the shuffle carries ids and flags only.
@@ -404,8 +490,8 @@ def function_docs(nodes: DataFrame, with_text: bool = True) -> DataFrame:
         norm_id("id").alias("id"), "indexed_at", "landed_at", F.col("removed_at").isNull().alias("alive"),
         F.coalesce(kind, F.lit(False)).alias("is_code"), "name", "signature", "docstring", "raw_text",
     )
-    out = "id string, indexed_at timestamp_ntz, landed_at timestamp_ntz, alive boolean, is_code boolean, name string, signature string, raw_text string, place string, description string"
+    out = "id string, indexed_at timestamp_ntz, landed_at timestamp_ntz, alive boolean, is_code boolean, name string, signature string, raw_text string, place string, description string, direct boolean"
     read = spread(src).mapInArrow(_rows, out)
     text = [F.col("signature"), F.col("raw_text").alias("code"), F.col("description")] if with_text else []
-    rows = latest(read, F.col("id"), [F.col("indexed_at"), F.col("landed_at")], [F.col("alive"), F.col("place"), *text], "id")
+    rows = latest(read, F.col("id"), [F.col("indexed_at"), F.col("landed_at")], [F.col("alive"), F.col("place"), F.col("direct"), *text], "id")
     return rows.where("alive and place is not null").drop("alive")

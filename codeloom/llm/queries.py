@@ -35,7 +35,7 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return docpairs.function_docs(table(spark, d, "nodes"), with_text=False).select("id")
+    return docpairs.function_docs(table(spark, d, "nodes"), with_text=False).where("direct").select("id")
 
 
 def p3_pairs(spark: SparkSession, d: str) -> DataFrame:
