@@ -52,7 +52,7 @@ class Engine:
     def links(self) -> DataFrame:
         """The symmetrised call graph, written once for each version of the index."""
         if self._links is None:
-            self._links = materialize(graph.symmetrize(self.nodes, self.edges.where("relation = 'CALLS'")), "links")
+            self._links = graph.bucketed(graph.symmetrize(self.nodes, self.edges.where("relation = 'CALLS'")))
         return self._links
 
     def error(self, text: str) -> DataFrame:
@@ -73,7 +73,7 @@ class Engine:
 
     def get_context(self, task: str, max_tokens: int = 4000, semantic_k: int = 5, pagerank_k: int = 25) -> DataFrame:
         """(context, tokens, nodes, included, naive_tokens, reduction_pct); an empty index gives an empty context."""
-        rows, report = context.get_context(self.nodes, self.edges, self._query(task), max_tokens, semantic_k, pagerank_k, dim=self.dim)
+        rows, report = context.get_context(self.nodes, self.edges, self._query(task), max_tokens, semantic_k, pagerank_k, dim=self.dim, links=self.links())
         if self.snapshots:
             ids = rows.select("id", (F.col("place") <= semantic_k).alias("seed"))
             save_snapshot(self.nodes, self.edges, ids, self.snapshots, len(self.log) + 1)
@@ -112,10 +112,10 @@ class Engine:
     def impact_analysis(self, names: list[str], file: str | None = None, direction: str = "both") -> impact.Impact | DataFrame:
         some = self.nodes.where(F.col("name").isin(*names))
         some = some.where(F.col("file").contains(file)) if file else some
-        return self.error("no such functions") if some.isEmpty() else impact.blast_radius(self.nodes, self.edges, some.select("id"), direction=direction)
+        return self.error("no such functions") if some.isEmpty() else impact.blast_radius(self.nodes, self.edges, some.select("id"), direction=direction, links=self.links())
 
     def impact_of_diff(self, text: str) -> impact.Impact:
-        return impact.from_diff(self.nodes, self.edges, self.spark.createDataFrame([(text,)], "text string"))
+        return impact.from_diff(self.nodes, self.edges, self.spark.createDataFrame([(text,)], "text string"), links=self.links())
 
     def semantic_audit(self, file: str | None = None, threshold: float = 0.35) -> DataFrame:
         """Drift of what functions declare - name and docstring - against what they call."""

@@ -45,16 +45,16 @@ def merge_ranked(seeds: DataFrame, ranked: DataFrame) -> DataFrame:
     return first.select("id", "x.score", F.row_number().over(W.orderBy("x.part", "x.place")).alias("place"))  # k + k rows
 
 
-def get_context(nodes: DataFrame, edges: DataFrame, query: DataFrame, max_tokens: int = 4000, semantic_k: int = 5, pagerank_k: int = 25, iterations: int | None = None, dim: int = 64) -> tuple[DataFrame, DataFrame]:
+def get_context(nodes: DataFrame, edges: DataFrame, query: DataFrame, max_tokens: int = 4000, semantic_k: int = 5, pagerank_k: int = 25, iterations: int | None = None, dim: int = 64, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, report) for one ``query`` (id, embedding).
 
     rows are the chosen symbols (place, id, name, score, tokens, total, text);
     file rows are skipped before the budget is counted, and the first symbol that
-    doesn't fit ends it.  report has context, tokens, nodes (merged), included.
+    doesn't fit ends it.  ``links`` is the symmetrised call graph, if the caller has it.  report has context, tokens, nodes (merged), included.
     """
     seeds = materialize(top_k(query, nodes.select("id", "embedding"), semantic_k, dim, cosine=True).select("id", "score", "rank"), "seeds")
-    links = materialize(symmetrize(nodes, edges.where("relation = 'CALLS'")), "links")
-    ppr = pagerank(nodes, links, seeds.select("id", F.lit(1.0).alias("p")), iterations=iterations, watch_every=4)
+    links = symmetrize(nodes, edges.where("relation = 'CALLS'")) if links is None else links
+    ppr = pagerank(nodes, links, seeds.select("id", F.lit(1.0).alias("p")), iterations=iterations)
     top = ppr.withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "id").limit(pagerank_k)
     ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "id")))
     merged = materialize(merge_ranked(seeds, ranked), "merged")

@@ -1,9 +1,9 @@
 """Graph operators: the symmetrised call graph, breadth-first search, PageRank.
 
 Loops run on the driver and hold no data there; each step is a join and an
-aggregation whose result is written to the shared folder.  Adjacency is joined
-on its source, so a vertex with very many edges is one large sorted run that
-adaptive execution may split; sums into it are reduced before the shuffle.
+aggregation whose result is written to the shared folder, in buckets of the ids
+that the next step joins on.  Sums into a vertex with very many edges are reduced
+before the shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.session import materialize, release, written
+from codeloom.session import materialize, observed, passing, release
 
 
 def existing_edges(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -26,22 +26,34 @@ def symmetrize(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return e.union(e.select("dst", "src")).distinct()
 
 
+def bucketed(links: DataFrame) -> DataFrame:
+    """``links`` (src, dst), written once in buckets by src; a table that is so already stays."""
+    return links if getattr(links, "_codeloom_by", None) == "src" else _marked(materialize(links.select("src", "dst"), "links", "src"))
+
+
+def _marked(df: DataFrame) -> DataFrame:
+    df._codeloom_by = "src"
+    return df
+
+
 def bfs(links: DataFrame, start: DataFrame, max_depth: int) -> DataFrame:
-    """(id, hop): ids reached from ``start`` (id) over links (src, dst), each with its least number of hops."""
-    links = written(links, "links")
-    reached = materialize(start.select("id").distinct().withColumn("hop", F.lit(0)), "bfs")
-    steps = [reached]
+    """(id, hop): ids reached from ``start`` (id) over links (src, dst), each with its least number of hops.
+
+    Links and the ids of each level lie in buckets, so a hop shuffles what its
+    frontier reaches and nothing else: neither the links nor what was visited.
+    """
+    links = bucketed(links)
+    count = F.count(F.lit(1))
+    first, n = observed(start.select("id").distinct().withColumn("hop", F.lit(0)), "bfs", "id", n=count)
+    steps = [first]
     for hop in range(1, max_depth + 1):
-        front = steps[-1].select(F.col("id").alias("src"))
-        # dropping the frontier's and the visited ids: all earlier levels
-        seen = steps[0].select("id")
-        for s in steps[1:]:
-            seen = seen.union(s.select("id"))
-        new = links.join(front, "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        new = materialize(new.withColumn("hop", F.lit(hop)), "bfs")
-        if new.isEmpty():
-            release(new)
+        if not n["n"]:
             break
+        front = steps[-1].select(F.col("id").alias("src")).hint("shuffle_hash")
+        new = links.join(front, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        for seen in steps:
+            new = new.join(seen.select("id").hint("shuffle_hash"), "id", "left_anti")
+        new, n = observed(new.withColumn("hop", F.lit(hop)), "bfs", "id", aligned=True, n=count)
         steps.append(new)
     out = steps[0]
     for s in steps[1:]:
@@ -57,7 +69,7 @@ def weights(links: DataFrame) -> DataFrame:
 
 def pagerank(
     vertices: DataFrame, links: DataFrame, personal: DataFrame | None = None, alpha: float = 0.85,
-    iterations: int | None = None, max_iter: int = 100, tol: float = 1e-6, scaled_tol: bool = True, cut_every: int = 4, watch_every: int = 1,
+    iterations: int | None = None, max_iter: int = 100, tol: float = 1e-6, scaled_tol: bool = True, retry: tuple[int, float] | None = (200, 1e-4),
 ) -> DataFrame:
     """(id, score) of each vertex (id) after power iteration over links (src, dst).
 
@@ -65,66 +77,59 @@ def pagerank(
     without links goes; uniform without it.  Ids that aren't vertices are left
     out and the rest is scaled to 1; if none is left the result is empty.  With
     ``iterations``, so many are made; else until the summed change is below
-    ``tol`` (times the number of vertices, if ``scaled_tol``).  Ranks are written
-    every ``cut_every`` rounds.  With ``watch_every`` the change is looked at in
-    so many rounds only, and the result is at least as close.
+    ``tol`` (times the number of vertices, if ``scaled_tol``).  If ``max_iter``
+    rounds don't reach that, ``retry`` (rounds, tol) starts anew; without it, or if
+    that fails too, the result is empty.
+
+    Links and ranks lie in buckets of the same ids, so a round is one job that
+    shuffles partial sums by target only.  The change and the rank that vertices
+    without links hold are summed while the ranks are written.
     """
-    ids = materialize(vertices.select("id").distinct(), "vertices")
-    n = ids.count()
-    empty = ids.limit(0).select("id", F.lit(0.0).alias("score"))
-    if n == 0:
-        return empty
-    if personal is None:
-        base = ids.withColumn("p", F.lit(1.0 / n))
-    else:
-        p = personal.join(ids, "id", "left_semi").groupBy("id").agg(F.sum("p").alias("p"))
-        total = p.agg(F.sum("p")).first()[0]
-        if not total:
+    with passing() as keep:
+        links = bucketed(links)
+        ids, seen = observed(vertices.select("id").distinct(), "vertices", "id", n=F.count(F.lit(1)))
+        n = seen["n"]
+        empty = vertices.limit(0).select("id", F.lit(0.0).alias("score"))
+        if not n:
             return empty
-        base = ids.join(p.withColumn("p", F.col("p") / total), "id", "left").na.fill(0.0, ["p"])
-    links = written(links, "links")
-    has = links.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
-    # rounds that are planned together share one shuffle of the weighted links
-    w = materialize(weights(links), "weights")
-    base = materialize(base.join(has, "id", "left").select("id", "p", F.coalesce("out", F.lit(False)).alias("out")), "base")
-    rank = base.select("id", "out", F.lit(1.0 / n).alias("score"))
-    last = None
-    for i in range(1, (iterations if iterations is not None else max_iter) + 1):
-        flow = rank.select(F.col("id").alias("src"), "score").join(w, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
-        lost = rank.where(~F.col("out")).agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        new = base.join(flow, "id", "left").crossJoin(F.broadcast(lost))  # one row
-        score = F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("p")) + F.lit(1 - alpha) * F.col("p")
-        new = new.select("id", "out", score.alias("score"))
-        watch = iterations is None and i % watch_every == 0
-        before = iterations is None and (i + 1) % watch_every == 0  # what the next change is measured from
-        if not (watch or before or i % cut_every == 0 or i == (iterations or max_iter)):
-            rank = new
-            continue
-        new = materialize(new, "rank")
-        near = False
-        if watch:
-            err = new.join(rank.select("id", F.col("score").alias("old")), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
-            near = err < tol * (n if scaled_tol else 1)
-        if last is not None:
-            release(last)
-        rank = last = new
-        if near:
-            break
-    if last is None:
-        rank = materialize(rank, "rank")
-    return rank.select("id", "score")
+        base = ids.withColumn("p", F.lit(1.0 / n))
+        if personal is not None:
+            p, seen = observed(personal.join(ids, "id", "left_semi").groupBy("id").agg(F.sum("p").alias("p")), "personal", "id", total=F.sum("p"))
+            if not seen["total"]:
+                return empty
+            base = ids.join(p.withColumn("p", F.col("p") / F.lit(seen["total"])), "id", "left").na.fill(0.0, ["p"])
+        w = materialize(weights(links), "weights", "src")
+        has = links.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True))
+        base = base.join(has, "id", "left").select("id", "p", F.coalesce("out", F.lit(False)).alias("out"), F.lit(1.0 / n).alias("score"))
+        lost = F.coalesce(F.sum(F.when(~F.col("out"), F.col("score"))), F.lit(0.0))
+        start, seen = observed(base, "rank", "id", lost=lost)
+        for rounds, close in [(max_iter, tol)] + ([retry] if retry else []):
+            rank, held = start, seen
+            for i in range(1, (iterations if iterations is not None else rounds) + 1):
+                flow = w.join(rank.select(F.col("id").alias("src"), "score").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") * F.col("w")).alias("got"))
+                score = F.lit(alpha) * (F.coalesce("got", F.lit(0.0)) + F.lit(held["lost"]) * F.col("p")) + F.lit(1 - alpha) * F.col("p")
+                new = rank.join(flow.hint("shuffle_hash"), "id", "left").select("id", "p", "out", score.alias("score"), F.abs(score - F.col("score")).alias("moved"))
+                new, held = observed(new, "rank", "id", aligned=True, lost=lost, moved=F.sum("moved"))
+                if rank is not start:
+                    release(rank)
+                rank = new
+                if iterations is None and held["moved"] < close * (n if scaled_tol else 1):
+                    return keep(rank).select("id", "score")
+            if iterations is not None:
+                return keep(rank).select("id", "score")
+        return empty
 
 
 def ego(links: DataFrame, changed: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
     """(vertices, links) within ``radius`` hops of ``changed`` (id)."""
-    links = written(links, "links")
-    near = materialize(bfs(links, changed, radius).select("id"), "ego")
+    links = bucketed(links)
+    near = materialize(bfs(links, changed, radius).select("id"), "ego", "id")
     return near, existing_edges(near, links)
 
 
 def local_pagerank(links: DataFrame, changed: DataFrame, radius: int = 2, iterations: int | None = None, **kw) -> DataFrame:
-    """PageRank of the surroundings of changed vertices; empty for fewer than two vertices."""
+    """PageRank of the surroundings of changed vertices; empty for fewer than two vertices, or if it doesn't converge."""
     near, inner = ego(links, changed, radius)
     if near.limit(2).count() < 2:
         return near.limit(0).select("id", F.lit(0.0).alias("score"))
-    return pagerank(near, inner, iterations=iterations, **kw)
+    return pagerank(near, inner, iterations=iterations, retry=None, **kw)

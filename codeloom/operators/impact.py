@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions.scalar import has_test, risk_level
-from codeloom.operators.graph import bfs, existing_edges, pagerank, symmetrize
+from codeloom.operators.graph import bfs, bucketed, existing_edges, pagerank, symmetrize
 from codeloom.operators.resolve import diff_names
 from codeloom.session import materialize
 
@@ -22,7 +22,7 @@ class Impact:
     report: DataFrame
 
 
-def blast_radius(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: int = 10, direction: str = "both", iterations: int | None = None) -> Impact:
+def blast_radius(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: int = 10, direction: str = "both", iterations: int | None = None, links: DataFrame | None = None) -> Impact:
     """What ``changed`` (id) reaches within ``max_depth`` hops over CALLS.
 
     direction ``both`` walks callers and callees, ``callers`` callers only.  If
@@ -31,17 +31,17 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_dep
     0.4 of the reach (50 at most) + 0.4 of the untested share + 0.2 of the mean
     degree of what changed (20 at most), in per cent, rounded half to even.
     Without changes the report has zeros; unknown ids count towards the radius
-    but can't be annotated.
+    but can't be annotated.  ``links`` is the symmetrised call graph, if the caller has it.
     """
     calls = edges.where("relation = 'CALLS'")
-    both = materialize(symmetrize(nodes, calls), "links")
-    links = both if direction == "both" else materialize(existing_edges(nodes, calls).select(F.col("dst").alias("src"), F.col("src").alias("dst")), "links")
+    both = bucketed(symmetrize(nodes, calls) if links is None else links)
+    ways = both if direction == "both" else existing_edges(nodes, calls).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     start = materialize(changed.select("id").distinct(), "changed")
-    reached = bfs(links, start, max_depth).where("hop > 0")
+    reached = bfs(ways, start, max_depth).where("hop > 0")
     n = start.count()
     ids = reached if not reached.isEmpty() else start.withColumn("hop", F.lit(0))
     seeds = start.withColumn("p", F.lit(1.0 / max(n, 1)))
-    risk = pagerank(nodes, both, seeds, iterations=iterations, watch_every=4)
+    risk = pagerank(nodes, both, seeds, iterations=iterations)
     short = nodes.select("id", "name", "file", F.col("line_start").alias("line"), "type")
     known = ids.join(short, "id").join(risk, "id", "left")
     affected = materialize(

@@ -1,6 +1,6 @@
 """The engine's own operators bound to the project's tables, and the SQL that states the same.
 
-Loops have a fixed number of rounds here so that SQL can unroll them.
+PageRank runs to convergence; its SQL unrolls more rounds than that takes.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from codeloom.operators import context, drift, federation, graph, impact, lookup
 from codeloom.plans.tables import table
 from codeloom.session import materialize
 
-ROUNDS = 8
+ROUNDS = 60  # of PageRank that the SQL unrolls; all that is compared converges before
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -268,22 +268,27 @@ def bfs_hops(spark, d):
     return graph.bfs(links, most_called(n, e, 1), 4)
 
 
-def _rank(seeds: str, vertices: str = "cur", links: str = "link", rounds: int = ROUNDS, tag: str = "r") -> str:
-    """CTEs of power iteration; the last is ``ranked`` (id, score)."""
+def _rank(seeds: str, vertices: str = "cur", links: str = "link", tag: str = "r") -> str:
+    """CTEs of power iteration; the last is ``ranked`` (id, score).
+
+    Scores stay as they are from the round on in which their summed change falls
+    below 1e-6 times the number of vertices.
+    """
     out = [
         f"{tag}n AS (SELECT count(*) AS n FROM {vertices})",
         f"{tag}w AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM {links})",
         f"{tag}b AS MATERIALIZED (SELECT v.id, {seeds} AS p, v.id IN (SELECT src FROM {links}) AS has FROM {vertices} v, {tag}n)",
-        f"{tag}0 AS (SELECT id, 1.0::DOUBLE / n AS score FROM {tag}b, {tag}n)",
+        f"{tag}0 AS (SELECT id, 1.0::DOUBLE / n AS score, false AS done FROM {tag}b, {tag}n)",
     ]
-    for i in range(1, rounds + 1):
+    for i in range(1, ROUNDS + 1):
         p = f"{tag}{i - 1}"
         out.append(
-            f"{tag}{i} AS MATERIALIZED (SELECT b.id, 0.85::DOUBLE * (coalesce(f.got, 0) + l.lost * b.p) + (1 - 0.85::DOUBLE) * b.p AS score FROM {tag}b b "
+            f"{tag}{i} AS MATERIALIZED (SELECT id, CASE WHEN was THEN old ELSE new END AS score, was OR sum(abs(new - old)) OVER () < 1e-6 * n AS done FROM ("
+            f"SELECT b.id, o.score AS old, o.done AS was, 0.85::DOUBLE * (coalesce(f.got, 0) + l.lost * b.p) + (1 - 0.85::DOUBLE) * b.p AS new FROM {tag}b b JOIN {p} o ON o.id = b.id "
             f"LEFT JOIN (SELECT w.dst AS id, sum(r.score * w.w) AS got FROM {p} r JOIN {tag}w w ON w.src = r.id GROUP BY 1) f ON f.id = b.id, "
-            f"(SELECT coalesce(sum(r.score), 0) AS lost FROM {p} r JOIN {tag}b b ON b.id = r.id WHERE NOT b.has) l)"
+            f"(SELECT coalesce(sum(r.score), 0) AS lost FROM {p} r JOIN {tag}b b ON b.id = r.id WHERE NOT b.has) l), {tag}n)"
         )
-    return ", ".join(out) + f", ranked AS (SELECT * FROM {tag}{rounds})"
+    return ", ".join(out) + f", ranked AS (SELECT id, score FROM {tag}{ROUNDS})"
 
 
 _SEED5 = f"CASE WHEN v.id IN {_TOP.format(n=5)} THEN 0.2::DOUBLE ELSE 0 END"
@@ -294,7 +299,7 @@ _SEED1 = f"CASE WHEN v.id IN {_TOP.format(n=1)} THEN 1.0::DOUBLE ELSE 0 END"
 def ppr(spark, d):
     n, e = materialize(cur(spark, d, "type"), "cur"), materialize(edges(spark, d, "CALLS"), "calls")
     seeds = most_called(n, e, 5).withColumn("p", F.lit(1.0))
-    return graph.pagerank(n, graph.symmetrize(n, e), seeds, iterations=ROUNDS).select("id", F.round("score", 8).alias("score"))
+    return graph.pagerank(n, graph.symmetrize(n, e), seeds).select("id", F.round("score", 8).alias("score"))
 
 
 _EGO = f"WITH RECURSIVE {_LINKS}, {_BFS.format(t='link', depth=2)}, ego AS MATERIALIZED (SELECT id FROM hops), inner_link AS MATERIALIZED (SELECT src, dst FROM link WHERE src IN (SELECT id FROM ego) AND dst IN (SELECT id FROM ego)), {_rank('1.0::DOUBLE / n', 'ego', 'inner_link')}"
@@ -304,7 +309,7 @@ _EGO = f"WITH RECURSIVE {_LINKS}, {_BFS.format(t='link', depth=2)}, ego AS MATER
 def pagerank_subgraph(spark, d):
     n, e = materialize(cur(spark, d, "type"), "cur"), materialize(edges(spark, d, "CALLS"), "calls")
     links = materialize(graph.symmetrize(n, e), "links")
-    return graph.local_pagerank(links, most_called(n, e, 1), 2, iterations=ROUNDS).select("id", F.round("score", 8).alias("score"))
+    return graph.local_pagerank(links, most_called(n, e, 1), 2).select("id", F.round("score", 8).alias("score"))
 
 
 # ---------------------------------------------------------------- impact
@@ -324,7 +329,7 @@ def _impact(t: str) -> str:
 
 def _blast(spark, d, direction="both"):
     n, e = materialize(cur(spark, d), "cur"), materialize(edges(spark, d), "edges")
-    return impact.blast_radius(n, e, most_called(n, e.where("relation = 'CALLS'"), 1), direction=direction, iterations=ROUNDS)
+    return impact.blast_radius(n, e, most_called(n, e.where("relation = 'CALLS'"), 1), direction=direction)
 
 
 @query(f"{_impact('link')} SELECT * FROM affected")
@@ -358,7 +363,7 @@ def impact_text(spark, d):
 @query()
 def impact_from_diff(spark, d):
     diff = spark.createDataFrame([("--- a\n+++ b\n+def get_value(x):\n+    return x\n+class Missing:\n def kept():",)], "text string")
-    return impact.from_diff(materialize(cur(spark, d), "cur"), edges(spark, d), diff, iterations=ROUNDS).report
+    return impact.from_diff(materialize(cur(spark, d), "cur"), edges(spark, d), diff).report
 
 
 # ---------------------------------------------------------------- vectors and context
@@ -406,7 +411,7 @@ _CONTEXT = f"""WITH {_LINKS}, {_SCORED.format(which='q.vec_id = 0')}, seed AS MA
 def _context(spark, d):
     n = materialize(cur(spark, d, *_SHORT, "embedding"), "cur")
     q = table(spark, d, "embeddings").where("vec_id = 0").select(F.col("vec_id").alias("id"), "embedding")
-    return context.get_context(n, edges(spark, d), q, iterations=ROUNDS)
+    return context.get_context(n, edges(spark, d), q)
 
 
 @query(f"{_CONTEXT} SELECT CAST(place AS INTEGER) AS place, id, name, round(score, 6) AS score, tokens, CAST(total AS BIGINT) AS total, text FROM kept")

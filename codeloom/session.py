@@ -9,14 +9,17 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+_WRITTEN: list[tuple[SparkSession, str, str | None]] = []  # session, folder, table in the session's catalog
 
 
 def build_session(master: str = "local[*]", app: str = "codeloom", **conf: str) -> SparkSession:
@@ -43,7 +46,7 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     known = getattr(spark.sparkContext, "_codeloom_folder", None)
     if known is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.sparkContext._codeloom_folder = known
@@ -69,7 +72,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A folder of its own in the shared folder, deleted by ``sweep`` and at the end."""
     path = new_path(spark, name)
-    _WRITTEN.append((spark, path))
+    _WRITTEN.append((spark, path, None))
     return path
 
 
@@ -78,16 +81,39 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder once and go on from the written table."""
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder once and go on from the written table.
+
+    With ``by`` the table is bucketed by that column in as many buckets as there
+    are shuffle partitions: joins and groupings on it move no rows of it.
+    """
+    return observed(df, name, by)[0]
+
+
+def observed(df: DataFrame, name: str, by: str | None = None, aligned: bool = False, **sums: Column) -> tuple[DataFrame, dict]:
+    """``materialize`` and, of the rows written, the aggregates ``sums``, in one job.
+
+    ``aligned`` says that the rows lie as their buckets do already, as after a
+    join of bucketed tables.  The sums are taken in the last stage, so that rows of
+    a stage that ran twice count once.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    df.write.parquet(path)
-    _WRITTEN.append((spark, path))
-    out = spark.read.schema(schema).parquet(path)
-    out._codeloom_path = path
-    return out
+    seen = Observation() if sums else None
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = df.repartition(buckets, by) if by and not aligned else df
+    out = out.observe(seen, *(c.alias(k) for k, c in sums.items())) if seen else out
+    table = None
+    if by is None:
+        out.write.parquet(path)
+    else:
+        table = "codeloom_" + os.path.basename(path).replace("-", "_")
+        out.write.bucketBy(buckets, by).option("path", path).format("parquet").saveAsTable(table)
+    _WRITTEN.append((spark, path, table))
+    read = spark.table(table) if table else spark.read.schema(schema).parquet(path)
+    read._codeloom_path = path
+    return read, dict(seen.get) if seen else {}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -105,25 +131,49 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table that ``materialize`` wrote and that nothing reads any more."""
-    path = getattr(df, "_codeloom_path", None)
-    if path:
-        drop_path(df.sparkSession, path)
-        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != path]
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    paths = {getattr(df, "_codeloom_path", None) for df in tables}
+    for entry in [x for x in _WRITTEN if x[1] in paths]:
+        _drop(*entry)
+        _WRITTEN.remove(entry)
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What is written inside is deleted at the end, but for the tables handed to the function it gives."""
+    before, kept = len(_WRITTEN), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(getattr(df, "_codeloom_path", None))
+        return df
+
+    try:
+        yield keep
+    finally:
+        mine = [x for x in _WRITTEN[before:] if x[1] not in kept]
+        for entry in mine:
+            _drop(*entry)
+            _WRITTEN.remove(entry)
+
+
+def _drop(spark: SparkSession, path: str, table: str | None) -> None:
+    if table:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    drop_path(spark, path)
 
 
 def sweep() -> None:
     """Delete all tables that ``materialize`` wrote; DataFrames that read them are dead then."""
-    for spark, path in _WRITTEN:
-        drop_path(spark, path)
+    for entry in _WRITTEN:
+        _drop(*entry)
     _WRITTEN.clear()
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _WRITTEN:
+    for entry in _WRITTEN:
         try:
-            drop_path(spark, path)
+            _drop(*entry)
         except Exception:  # the session may be gone already
             return
