@@ -12,7 +12,9 @@
    come from one search, so a vector is sent to a list once, as member and query.
 5. *Lists.*  Each list compares its members with its queries in blocks of a
    matrix product and keeps the best ``k`` for each query at or above the
-   threshold; the best of all lists follow by a rank over each query.
+   threshold; the best of all lists follow by a rank over each query.  A list of
+   very many rows is cut into shares of members and of queries, each pair of
+   shares in a task, and there into lists of its own.
 
 Vectors that are the same up to length form one class, compared once; a class
 keeps its ``k + 1`` smallest ids, which is all that any ranking by similarity,
@@ -38,15 +40,14 @@ from pyspark.sql import functions as F
 from codeloom.session import materialize, ship
 
 
-_ENTRIES = 1_024  # centroids at which a search may start
-
-
 @dataclass(frozen=True)
 class Params:
     """sample_rows bounds what the centroids are fitted to (256 bytes each), max_lists their number.
 
-    list_size is the number of vectors for which there is one list, until
-    max_lists is reached; beyond it lists grow.
+    list_size is the number of vectors for which there is one list.  Beyond
+    max_lists * list_size vectors a list holds more, and is divided again where it
+    lies: a part of it with more than ``divide`` members has lists of list_size of
+    its own.  part_rows bounds the members and the questions of a part.
     """
 
     dim: int = 64
@@ -55,6 +56,8 @@ class Params:
     list_size: int = 64
     sample_rows: int = 262_144
     max_lists: int = 32_768
+    divide: int = 512
+    part_rows: int = 32_768
     degree: int = 32
     copies: int = 2
     slack: float = 0.1
@@ -151,10 +154,10 @@ def build_graph(c: np.ndarray, degree: int, seed: int) -> Graph:
         top = np.argpartition(-s, d - 1, axis=1)[:, :d]
         near[i : i + 1024] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
     rng = np.random.default_rng(seed)
-    # half of the links go to the nearest, some are kept at random: the graph stays connected
+    # seven of eight links go to the nearest, the rest to any: the graph stays connected
     if n > 4 * d:
         near[:, -max(1, d // 8) :] = rng.integers(0, n, (n, max(1, d // 8)))
-    entry = rng.choice(n, min(n, max(_ENTRIES, int(3 * np.sqrt(n)))), replace=False).astype(np.int32) if n else np.zeros(0, np.int32)
+    entry = rng.choice(n, min(n, max(8, int(2 * np.sqrt(n)))), replace=False).astype(np.int32) if n else np.zeros(0, np.int32)
     return Graph(c, near, entry)
 
 
@@ -254,16 +257,58 @@ def best_in_list(q: np.ndarray, qid: np.ndarray, m: np.ndarray, mid: np.ndarray,
     return np.concatenate(qs), np.concatenate(ms), np.concatenate(ss)
 
 
+def best_in_part(q: np.ndarray, qid: np.ndarray, m: np.ndarray, mid: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``best_in_list``, by lists of its own if there are many members."""
+    if len(m) <= p.divide:
+        return best_in_list(q, qid, m, mid, p)
+    g = build_graph(fit_centroids(m, -(-len(m) // p.list_size), p.seed), p.degree, p.seed)
+    routed = []
+    for x, only in ((m, True), (q, False)):
+        got = [(r + at, to) for at in range(0, len(x), 2_000) for r, to, member in [route(g, x[at : at + 2_000], p)] for r, to in [(r[member], to[member]) if only else (r, to)]]
+        rows, to = (np.concatenate(v) for v in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+        order = np.argsort(to, kind="stable")
+        routed.append((rows[order], np.searchsorted(to[order], np.arange(len(g.at) + 1))))
+    (mr, mc), (qr, qc) = routed
+    out = []
+    for k in range(len(g.at)):
+        mine, asks = mr[mc[k] : mc[k + 1]], qr[qc[k] : qc[k + 1]]
+        if len(mine) and len(asks):
+            a, b, s = best_in_list(q[asks], qid[asks], m[mine], mid[mine], p)
+            out.append((asks[a], mine[b], s))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(v) for v in zip(*out))  # type: ignore[return-value]
+
+
 def _list_group(table: pa.Table, p: Params) -> pa.Table:
     vec, ids = unpack(table.column("vec"), p.dim), table.column("id").combine_chunks()
     member = np.flatnonzero(table.column("member").to_numpy(zero_copy_only=False))
     asks = np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
     if not len(member) or not len(asks):
         return pa.table({"id": pa.array([], pa.string()), "other": pa.array([], pa.string()), "sim": pa.array([], pa.float64())})
-    q, m, s = best_in_list(vec[asks], asks, vec[member], member, p)
+    q, m, s = best_in_part(vec[asks], asks, vec[member], member, p)
     return pa.table({"id": ids.take(pa.array(asks[q])), "other": ids.take(pa.array(member[m])), "sim": pa.array(s)})
 
 
+def cells(to: np.ndarray, member: np.ndarray, r: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, part, member, asks): the parts of its list to which each entry goes.
+
+    A list has parts[0] shares of members by parts[1] shares of questions, each
+    pair of shares in one part: all its members meet all its questions.
+    """
+    pm, pq = parts[0][to].astype(np.int64), parts[1][to].astype(np.int64)
+    one = pm * pq == 1
+    at = [np.flatnonzero(one)]
+    part, mine, asks = [np.zeros(int(one.sum()), np.int64)], [member[one]], [np.ones(int(one.sum()), bool)]
+    for i in np.flatnonzero(~one):  # lists of more than a part
+        a, b = r[i] % pm[i], (r[i] // pm[i]) % pq[i]
+        grid = np.arange(pm[i] * pq[i])
+        is_m, is_q = (grid // pq[i] == a) & member[i], grid % pq[i] == b
+        go = np.flatnonzero(is_m | is_q)
+        at.append(np.full(len(go), i)), part.append(grid[go]), mine.append(is_m[go]), asks.append(is_q[go])
+    return np.concatenate(at), np.concatenate(part), np.concatenate(mine), np.concatenate(asks)
+
+
 # ---------------------------------------------------------------- the whole
 
 
@@ -279,24 +324,22 @@ def nearest(units: DataFrame, p: Params) -> DataFrame:
     sample = unpack(chosen.select("vec").toArrow().column("vec"), p.dim)
     lists = min(p.max_lists, max(1, -(-n // p.list_size)))
     shared = spark.sparkContext.broadcast(build_graph(fit_centroids(sample, lists, p.seed), p.degree, p.seed))
-    slices = max(1, -(-2 * n // (lists * 65_536)))  # a list of more rows is asked in so many parts
+    # what each list will hold, from where the sample goes
+    held = np.zeros((2, max(1, len(shared.value.at))))
+    for at in range(0, len(sample), 2_000):
+        _, to, member = route(shared.value, sample[at : at + 2_000], p)
+        held += [np.bincount(to[member], minlength=held.shape[1]), np.bincount(to, minlength=held.shape[1])]
+    parts = np.maximum(1, np.ceil(held * (n / max(1, len(sample))) / p.part_rows)).astype(np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(p.seed)
         for b in (whole.slice(at, 2_000) for whole in batches for at in range(0, whole.num_rows, 2_000)):
             q = unpack(b.column("vec"), p.dim)
             r, to, member = route(shared.value, q, p)
-            part = r % slices
-            if slices > 1:  # members go to all parts, questions to one
-                r, to, member, part = (np.repeat(x, slices) for x in (r, to, member, part))
-                here = np.tile(np.arange(slices), len(r) // slices)
-                keep = member | (part == here)
-                r, to, member, part, here = r[keep], to[keep], member[keep], part[keep], here[keep]
-                asks, part = part == here, here
-            else:
-                asks = np.ones(len(r), bool)
-            rows = pa.array(r)
+            entry, part, member, asks = cells(to, member, rng.integers(0, 1 << 30, len(q))[r], parts)
+            rows = pa.array(r[entry])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(to, pa.int32()), pa.array(part, pa.int32()), pa.array(member), pa.array(asks), b.column("id").take(rows), b.column("vec").take(rows)],
+                [pa.array(to[entry], pa.int32()), pa.array(part, pa.int32()), pa.array(member), pa.array(asks), b.column("id").take(rows), b.column("vec").take(rows)],
                 names=["list", "part", "member", "asks", "id", "vec"],
             )
 

@@ -55,7 +55,7 @@ def test_empty_and_single(spark):
     assert nb.similar_pairs(table(spark, [("a", np.ones(8)), ("b", None)]), nb.Params(dim=8)).count() == 0
 
 
-def test_long_lists_in_slices(spark):
+def test_lists_in_blocks(spark):
     rows = clusters(400, 16, 5, per=100)
     a, b = nb.Params(dim=16, least=0.5, list_size=400), nb.Params(dim=16, least=0.5, list_size=400, block=37)
     x = {tuple(r) for r in nb.similar_pairs(table(spark, rows), a).select("id_a", "id_b").collect()}
@@ -63,6 +63,30 @@ def test_long_lists_in_slices(spark):
     assert x == y == brute(rows, 5, 0.5)
 
 
+def test_full_lists_are_cut_into_parts_and_divided(spark):
+    """Three lists for 3,000 vectors, a third of them close together: parts of 300 rows at most twice, with lists of their own."""
+    rows = clusters(2_000, 64, 7) + [(f"h{i:05d}", v) for i, (_, v) in enumerate(clusters(1_000, 64, 8, per=1_000))]
+    p = nb.Params(max_lists=3, part_rows=300, divide=128)
+    got = {(r.id_a, r.id_b) for r in nb.similar_pairs(table(spark, rows), p).collect()}
+    want = brute(rows, p.k, p.least)
+    assert len(got & want) / len(want) >= 0.95
+    whole = {(r.id_a, r.id_b) for r in nb.similar_pairs(table(spark, rows), nb.Params(max_lists=3, part_rows=300, divide=10**9, probes=3)).collect()}
+    assert len(whole & want) / len(want) >= 0.99  # all members of a list meet all its questions
+
+
+def test_cells():
+    parts = np.array([[1, 3], [1, 4]])
+    to, member, r = np.array([0, 1, 1, 1]), np.array([True, True, True, False]), np.array([5, 7, 8, 9])
+    at, part, mine, asks = nb.cells(to, member, r, parts)
+    got = sorted(zip(at.tolist(), part.tolist(), mine.tolist(), asks.tolist()))
+    assert got[0] == (0, 0, True, True)
+    for i in (1, 2):
+        assert sum(m for k, _, m, _ in got if k == i) == 4 and sum(q for k, _, _, q in got if k == i) == 3
+    assert [(m, q) for k, _, m, q in got if k == 3] == [(False, True)] * 3
+    meet = lambda i, j: {c for k, c, m, _ in got if k == i and m} & {c for k, c, _, q in got if k == j and q}
+    assert all(len(meet(i, j)) == 1 for i in (1, 2) for j in (1, 2, 3))
+
+
 @pytest.mark.parametrize("n", [1, 2, 5, 300, 2_000])
 def test_graph_search_finds_the_nearest(n):
     rng = np.random.default_rng(n)
