@@ -111,17 +111,18 @@ def _split(x: np.ndarray, ways: int, rng: np.random.Generator, rounds: int = 6)
     return label
 
 
-def fit_centroids(x: np.ndarray, lists: int, seed: int) -> np.ndarray:
-    """At most about ``lists`` unit centroids; no cluster holds more than twice its share of ``x``."""
+def fit_centroids(x: np.ndarray, lists: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most about ``lists`` unit centroids and how much of ``x`` each stands for; no cluster of vectors that differ holds more than twice its share."""
     rng = np.random.default_rng(seed)
     if len(x) == 0:
-        return np.zeros((0, x.shape[1]), np.float32)
+        return np.zeros((0, x.shape[1]), np.float32), np.zeros(0, np.int64)
     share = max(1.0, len(x) / max(1, lists))
-    todo, out = [np.arange(len(x))], []
+    todo, out, sizes = [np.arange(len(x))], [], []
     while todo:
         rows = todo.pop()
         if len(rows) <= 1.5 * share or len(rows) < 2:
             out.append(x[rows].mean(axis=0))
+            sizes.append(len(rows))
             continue
         ways = int(min(32, max(2, round(len(rows) / share)), len(rows)))
         label = _split(x[rows], ways, rng)
@@ -129,10 +130,11 @@ def fit_centroids(x: np.ndarray, lists: int, seed: int) -> np.ndarray:
         parts = [q for q in parts if len(q)]
         if len(parts) == 1:  # alike up to rounding
             out.append(x[rows].mean(axis=0))
+            sizes.append(len(rows))
         else:
             todo += parts
     c = np.array(out, dtype=np.float32)
-    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
+    return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9), np.array(sizes)
 
 
 @dataclass(frozen=True)
@@ -261,7 +263,7 @@ def best_in_part(q: np.ndarray, qid: np.ndarray, m: np.ndarray, mid: np.ndarray,
     """``best_in_list``, by lists of its own if there are many members."""
     if len(m) <= p.divide:
         return best_in_list(q, qid, m, mid, p)
-    g = build_graph(fit_centroids(m, -(-len(m) // p.list_size), p.seed), p.degree, p.seed)
+    g = build_graph(fit_centroids(m, -(-len(m) // p.list_size), p.seed)[0], p.degree, p.seed)
     routed = []
     for x, only in ((m, True), (q, False)):
         got = [(r + at, to) for at in range(0, len(x), 2_000) for r, to, member in [route(g, x[at : at + 2_000], p)] for r, to in [(r[member], to[member]) if only else (r, to)]]
@@ -323,13 +325,11 @@ def nearest(units: DataFrame, p: Params) -> DataFrame:
     chosen = units if share >= 1.0 else units.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1_000_000)) < int(share * 1_000_000))
     sample = unpack(chosen.select("vec").toArrow().column("vec"), p.dim)
     lists = min(p.max_lists, max(1, -(-n // p.list_size)))
-    shared = spark.sparkContext.broadcast(build_graph(fit_centroids(sample, lists, p.seed), p.degree, p.seed))
-    # what each list will hold, from where the sample goes
-    held = np.zeros((2, max(1, len(shared.value.at))))
-    for at in range(0, len(sample), 2_000):
-        _, to, member = route(shared.value, sample[at : at + 2_000], p)
-        held += [np.bincount(to[member], minlength=held.shape[1]), np.bincount(to, minlength=held.shape[1])]
-    parts = np.maximum(1, np.ceil(held * (n / max(1, len(sample))) / p.part_rows)).astype(np.int64)
+    centroids, sizes = fit_centroids(sample, lists, p.seed)
+    shared = spark.sparkContext.broadcast(build_graph(centroids, p.degree, p.seed))
+    # what each list may hold: its part of the sample, at the most copies and probes
+    most = np.array([[p.copies], [p.probes]]) * sizes * (n / max(1, len(sample)))
+    parts = np.maximum(1, np.ceil(most / p.part_rows)).astype(np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(p.seed)

@@ -104,7 +104,7 @@ def test_centroids_are_balanced():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(4_000, 16)) * 0.01 + np.eye(16)[0], rng.normal(size=(2_000, 16))]).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    c = nb.fit_centroids(x, 60, 1)
+    c, sizes = nb.fit_centroids(x, 60, 1)
     size = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
     assert 40 <= len(c) <= 240 and size.max() <= 6 * len(x) / 60
-    assert len(nb.fit_centroids(np.tile(x[:1], (500, 1)), 60, 1)) >= 1
+    assert nb.fit_centroids(np.tile(x[:1], (500, 1)), 60, 1)[1].sum() == 500 and sizes.sum() == len(x)
