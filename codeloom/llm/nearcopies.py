@@ -16,11 +16,12 @@ their own sizes.  Pairs that share less than half of that are no candidates.
 
 *Tiers.*  A signature may be shared by a third of all records if it consists of
 runs that everyone uses.  Leaving members out of the domain can only reduce a
-difference, so the first tier leaves out runs in more than ``common`` sets; then
-no signature is in more sets than that.  Parts that are left empty sign nothing,
-so sets that keep less than ``kept`` of their members go on to the next tier,
-which counts again among them with ``widen`` times the bound, until none is left
-or nothing is left out.
+difference, so the first tier leaves out runs in more than ``common`` sets,
+which are counted exactly, however the rows lie; then no signature is in more sets
+than that, at any size.  Parts that are left empty sign nothing, so sets that keep
+less than ``kept`` of their members go on to the next tier, which counts again
+among them with ``widen`` times the bound, until none is left or nothing is left
+out.
 
 *Small sets.*  Few members leave most parts empty, so less is shared than that.
 Pairs of which one set has at most ``exact`` members are candidates if they share
@@ -59,7 +60,8 @@ class Params:
     """least: similarity; run: words in a run; expand: copies up to which classes are spelt out as pairs, null for all.
     exact: members up to which a set is compared with all that share a rare run of it.
 
-    sent_rows bounds the rows of numbers (8 bytes each) that are sent to every executor.
+    frequent_rows and sent_rows bound the frequent runs and the rows of numbers (8 bytes each)
+    that are sent to every executor; more of them are joined by a shuffle instead.
     """
 
     least: float = 0.8
@@ -123,37 +125,58 @@ def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- common runs
 
 
-def common_runs(sets: DataFrame, bound: int, parts: int) -> np.ndarray:
-    """Sorted values of runs in more than ``bound`` sets; of those in up to twice as many some may be missing.
+def frequent_runs(sets: DataFrame, bound: int, ranges: int) -> DataFrame:
+    """(run): exactly the runs in more than ``bound`` sets, written.
 
-    A partition reports a run that it has at least bound/parts times; what goes
-    unreported is less than ``bound`` in sum, and at most (members/bound) runs
-    can be returned.
+    Each task counts its runs and hands on sorted blocks, one for each range of
+    values, as differences that compress; the blocks of a range are summed in one
+    task.  ``ranges`` is a power of two that grows with the number of runs.
     """
-    here = max(2, bound // max(1, parts))
+    bits = ranges.bit_length() - 1
+
+    def block(keys: np.ndarray, sums: np.ndarray) -> pa.RecordBatch:
+        where = (keys >> _U(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+        cut = np.searchsorted(where, np.arange(ranges + 1))
+        rows = [(k, keys[cut[k] : cut[k + 1]], sums[cut[k] : cut[k + 1]]) for k in range(ranges) if cut[k + 1] > cut[k]]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _, _ in rows], pa.int32()), pa.array([_planes(np.diff(x, prepend=_U(0))) for _, x, _ in rows], pa.binary()), pa.array([_planes(n.astype(np.uint32)) for _, _, n in rows], pa.binary())],
+            names=["range", "runs", "n"],
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, held = [], 0
-        keys, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            u, c = np.unique(np.concatenate(got) if got else np.zeros(0, np.uint64), return_counts=True)
-            both, at = np.unique(np.concatenate([keys, u]), return_inverse=True)
-            return both, np.bincount(at, np.concatenate([sums, c]), len(both)).astype(np.int64)
-
         for b in batches:
             x, _ = _flat(b.column("runs"))
             got.append(x)
             held += len(x)
             if held > 8_000_000:
-                keys, sums = fold()
+                yield block(*np.unique(np.concatenate(got), return_counts=True))
                 got, held = [], 0
-        keys, sums = fold()
-        many = sums >= here
-        yield pa.RecordBatch.from_arrays([pa.array(keys[many].view(np.int64)), pa.array(sums[many])], names=["run", "n"])
+        if held:
+            yield block(*np.unique(np.concatenate(got), return_counts=True))
+
+    def add(t: pa.Table) -> pa.Table:
+        with np.errstate(over="ignore"):
+            keys = np.concatenate([np.cumsum(_unplanes(x, np.uint64), dtype=np.uint64) for x in t.column("runs").to_pylist()])
+        sums = np.concatenate([_unplanes(x, np.uint32) for x in t.column("n").to_pylist()])
+        u, at = np.unique(keys, return_inverse=True)
+        return pa.table({"run": pa.array(u[np.bincount(at, sums, len(u)) > bound].view(np.int64))})
+
+    counted = sets.select("runs").mapInArrow(count, "range int, runs binary, n binary")
+    return materialize(counted.groupBy("range").applyInArrow(add, "run long"), "frequent")
+
+
+def rare_only(sets: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(num, n, runs): ``sets`` without the frequent runs, by a join; sets of which nothing is left are missing."""
+    members = sets.select("num", "n", "runs").mapInArrow(_members, "num long, n int, run long")
+    left = members.join(frequent, "run", "left_anti").groupBy("num", "n").agg(F.collect_list("run").alias("some"))  # one text's runs
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [np.sort(np.array(x, np.int64).view(np.uint64)).tobytes() for x in b.column("some").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("num"), b.column("n"), pa.array(raw, pa.binary())], names=["num", "n", "runs"])
 
-    rows = sets.select("runs").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= bound).select("run").collect()
-    return np.sort(np.array([r.run for r in rows], np.int64).view(np.uint64))
+    return left.mapInArrow(pack, "num long, n int, runs binary")
 
 
 # ---------------------------------------------------------------- signatures
@@ -289,16 +312,18 @@ def candidates(sets: DataFrame, frequent: np.ndarray, p: Params, buckets: int) -
                     names=["bucket", "sig", "num", "n", "inst"],
                 )
 
-    def meet(t: pa.Table) -> pa.Table:
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [b for b in batches if b.num_rows]  # one bucket
+        if not blocks:
+            return
         cols = []
         for name, dtype in (("sig", np.uint64), ("num", np.int64), ("n", np.uint32), ("inst", np.uint8)):
-            cols.append(np.concatenate([_unplanes(x, dtype) for x in t.column(name).to_pylist()]))
-        got = list(pairs_of(*cols, least=p.least, parts_of=parts_of)) or [tuple(np.zeros(0, np.int64) for _ in range(4))]
-        a, b, i, c = (np.concatenate(v) for v in zip(*got))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "what": pa.array(i), "c": pa.array(c.astype(np.int32))})
+            cols.append(np.concatenate([_unplanes(x, dtype) for b in blocks for x in b.column(name).to_pylist()]))
+        for a, b, i, c in pairs_of(*cols, least=p.least, parts_of=parts_of):
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(i, pa.int64()), pa.array(c.astype(np.int32))], names=["a", "b", "what", "c"])
 
     posted = sets.select("num", "n", "runs").mapInArrow(post, "bucket int, sig binary, num binary, n binary, inst binary")
-    met = posted.groupBy("bucket").applyInArrow(meet, "a long, b long, what long, c int")
+    met = posted.repartitionById(buckets, "bucket").mapInArrow(meet, "a long, b long, what long, c int")
     counted = met.groupBy("a", "b", "what").agg(F.sum("c").alias("c")).where(F.col("c") >= F.col("what") % _MOST)
     return counted.select("a", "b").distinct()
 
@@ -409,14 +434,22 @@ def near_copies(records: DataFrame, p: Params = Params()) -> Result:
         size = pool.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("runs")).first()
         if not size.n:
             break
-        bound = max(bound, -(-size.runs // p.frequent_rows))
-        frequent = common_runs(pool, bound, pool.rdd.getNumPartitions()) if bound < size.n else np.zeros(0, np.uint64)
+        often = frequent_runs(pool, bound, 1 << max(3, (size.runs // 2_000_000).bit_length())) if bound < size.n else None
+        many = often.count() if often is not None else 0
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size.runs * 2 // 500_000))
-        got = materialize(candidates(pool, frequent, p, buckets), "candidates")
+        none = np.zeros(0, np.uint64)
+        if many <= p.frequent_rows:
+            frequent = np.sort(np.array([r.run for r in often.collect()], np.int64).view(np.uint64)) if many else none
+            got = materialize(candidates(pool, frequent, p, buckets), "candidates")
+            left = _kept(pool, frequent, p.kept) if many else None
+        else:
+            rare = materialize(rare_only(pool, often), "rare")
+            got = materialize(candidates(rare, none, p, buckets), "candidates")
+            left = pool.join(rare.where(F.length("runs") >= 8 * p.kept * F.col("n")).select("num"), "num", "left_anti")
         found = got if found is None else found.unionByName(got)
-        if not len(frequent):
+        if left is None:
             break
-        left = materialize(_kept(pool, frequent, p.kept), "tier")
+        left = materialize(left.select("num", "n", "runs"), "tier")
         if pool is not sets:
             release(pool)
         pool, bound = left, bound * p.widen

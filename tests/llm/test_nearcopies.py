@@ -68,6 +68,47 @@ def test_big_cluster_goes_through_the_tiers(spark):
     assert found(spark, rows, p) == brute(rows, p)
 
 
+def test_frequent_runs_do_not_depend_on_the_layout(spark):
+    """A run in 64 sets, one to a partition, is found as if they lay together."""
+    sets = spark.createDataFrame([(i, 2, bytes(np.array([7, 100 + i], np.uint64))) for i in range(64)], "num long, n int, runs binary")
+    for parts in (64, 4, 1):
+        got = lambda bound: [r.run for r in nc.frequent_runs(sets.repartition(parts, "num"), bound, 8).collect()]  # noqa: B023, E731
+        assert got(63) == [7] and got(64) == [] and sorted(got(0)) == [7, *range(100, 164)]
+    high = spark.createDataFrame([(i, 1, bytes(np.array([2**64 - 1], np.uint64))) for i in range(5)], "num long, n int, runs binary")
+    assert [r.run for r in nc.frequent_runs(high, 4, 8).collect()] == [-1]
+
+
+def test_frequent_runs_too_many_to_send_are_joined(spark):
+    rows = corpus(300, 6)
+    p = nc.Params(least=0.6, run=3, least_words=25, common=6, frequent_rows=0, sent_rows=0)
+    want = brute(rows, p)
+    assert len(want) > 40 and found(spark, rows, p) == want
+
+
+def test_recall_just_above_the_threshold(spark):
+    """Pairs of texts that share barely six tenths of their runs, many of them frequent ones."""
+    rng, rows = random.Random(12), []
+    stock = [[rng.choice([f"s{i}" for i in range(50)]) for _ in range(8)] for _ in range(12)]
+    for i in range(250):
+        w = [f"p{i}x{k}" for k in range(rng.randrange(30, 90))]
+        for c in rng.sample(stock, 3):
+            w += c
+        n, v = len(w) - 2, list(w)
+        k = 0
+        while True:  # replace words from the front as long as the similarity stays above
+            k += 1
+            new = [f"q{i}y{j}" for j in range(k)] + w[k:]
+            both = {tuple(w[j : j + 3]) for j in range(n)} & {tuple(new[j : j + 3]) for j in range(n)}
+            if len(both) < 0.6 * (len({tuple(w[j : j + 3]) for j in range(n)}) + len({tuple(new[j : j + 3]) for j in range(n)}) - len(both)):
+                break
+            v = new
+        rows += [(f"a{i:03d}", " ".join(w)), (f"b{i:03d}", " ".join(v))]
+    p = nc.Params(least=0.6, run=3, least_words=25)
+    want = brute(rows, p)
+    got = found(spark, rows, p)
+    assert len(want) >= 250 and got <= want and len(got) / len(want) >= 0.98
+
+
 def test_copies_nulls_and_short_texts(spark):
     text = " ".join(f"a{i}" for i in range(40))
     rows = [("k1", text), ("k2", text.upper().replace(" ", "\r\n")), ("k3", text), ("n", None), ("e", ""), ("b", "  \n"), ("s", "one two"), ("z", text + " more words here")]
