@@ -118,9 +118,10 @@ class Engine:
         return impact.from_diff(self.nodes, self.edges, self.spark.createDataFrame([(text,)], "text string"), links=self.links())
 
     def semantic_audit(self, file: str | None = None, threshold: float = 0.35) -> DataFrame:
-        """Drift of what functions declare - name and docstring - against what they call."""
+        """Drift of what functions declare - name and docstring - against what they call; a callee without a vector has that of its name."""
         said = embed(self.nodes.withColumn("_said", F.concat_ws(" ", "name", "docstring")), "_said", self.dim, "declared", self.model)
-        d = drift.drift_report(said, self.edges, declared="declared", threshold=threshold, dim=self.dim)
+        said = embed(said, "name", self.dim, "named", self.model)
+        d = drift.drift_report(said, self.edges, declared="declared", threshold=threshold, dim=self.dim, fallback="named")
         return (d.where(F.col("file") == file) if file else d).orderBy(F.desc("drift_score"), "node_id")
 
     def get_volatility(self, name: str | None = None, top_k: int = 10) -> DataFrame:

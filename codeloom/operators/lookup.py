@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.scalar import map_line
+from codeloom.operators.graph import existing_edges
 
 SHORT = ("name", "type", "file", "line", "signature")
 
@@ -68,6 +69,18 @@ def names_to_ids(nodes: DataFrame) -> DataFrame:
     return n.groupBy("name").agg(F.count(F.lit(1)).alias("symbols"), F.min("id").alias("first_id"), F.countDistinct("file").alias("files"))
 
 
+def ids_by_name(nodes: DataFrame) -> DataFrame:
+    """(name, id, file): the symbols of each name, a row each; file rows are left out."""
+    return nodes.where("type <> 'file' and name is not null").select("name", "id", "file")
+
+
+def node_relations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, role, other, name, file): the callers and callees of each symbol, a row each."""
+    e = existing_edges(nodes, edges.where("relation = 'CALLS'"))
+    both = e.select(F.col("dst").alias("id"), F.lit("caller").alias("role"), F.col("src").alias("other")).union(e.select("src", F.lit("callee"), "dst"))
+    return both.join(nodes.select(F.col("id").alias("other"), "name", "file"), "other").select("id", "role", "other", "name", "file")
+
+
 def node_detail(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, name, type, file, n_callers, n_callees): each symbol with its degree in the call graph."""
     e = edges.where("relation = 'CALLS'")

@@ -64,13 +64,18 @@ def unchanged(files: DataFrame, hashes: DataFrame) -> DataFrame:
     return files.join(hashes.select("file", "hash"), ["file", "hash"], "left_anti")
 
 
+def _moved(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(file, id, kind) of ids (file, id, state) in either: added, removed, changed - in both, with another state; nulls are equal - or null."""
+    both = old.select("file", "id", F.struct(F.col("state")).alias("was")).join(new.select("file", "id", F.struct(F.col("state")).alias("now")), ["file", "id"], "full")
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").when(~F.col("was").eqNullSafe(F.col("now")), "changed")
+    return both.select("file", "id", kind.alias("kind"))
+
+
 def delta_sets(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(file, added, removed, changed): counts of ids (file, id, state) by file.
+    """(file, added, removed, changed): counts of ids (file, id, state) by file."""
+    return _moved(old, new).groupBy("file").agg(*(F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("added", "removed", "changed")))
 
-    changed are ids in both whose state differs; nulls are equal.
-    """
-    both = old.select("file", "id", F.struct(F.col("state")).alias("was")).join(new.select("file", "id", F.struct(F.col("state")).alias("now")), ["file", "id"], "full")
-    added, removed = F.col("was").isNull(), F.col("now").isNull()
-    changed = ~added & ~removed & ~F.col("was").eqNullSafe(F.col("now"))
-    n = lambda c: F.sum(c.cast("long"))
-    return both.groupBy("file").agg(n(added).alias("added"), n(removed).alias("removed"), n(changed).alias("changed"))
+
+def delta_ids(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(file, kind, id): the ids that were added, removed or changed, a row each."""
+    return _moved(old, new).where("kind is not null").select("file", "kind", "id")

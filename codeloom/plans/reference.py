@@ -106,6 +106,11 @@ def name_to_ids(spark, d):
     return lookup.names_to_ids(cur(spark, d))
 
 
+@query(f"WITH {_CUR} SELECT name, id, file FROM cur WHERE type <> 'file' AND name IS NOT NULL")
+def ids_by_name(spark, d):
+    return lookup.ids_by_name(cur(spark, d))
+
+
 @query(f"WITH {_CUR} SELECT id, len(embedding) AS dim FROM cur WHERE embedding IS NOT NULL")
 def all_embeddings(spark, d):
     return cur(spark, d, "embedding").where("embedding is not null").select("id", F.size("embedding").cast("long").alias("dim"))
@@ -159,6 +164,19 @@ def node_detail(spark, d):
     return lookup.node_detail(cur(spark, d), edges(spark, d))
 
 
+@query(f"""WITH {_CUR}, {_EDGES}, e AS (SELECT src, dst FROM edge WHERE relation = 'CALLS' AND src IN (SELECT id FROM cur) AND dst IN (SELECT id FROM cur))
+SELECT e.dst AS id, 'caller' AS role, n.id AS other, n.name, n.file FROM e JOIN cur n ON n.id = e.src UNION ALL SELECT e.src, 'callee', n.id, n.name, n.file FROM e JOIN cur n ON n.id = e.dst""")
+def node_relations(spark, d):
+    return lookup.node_relations(cur(spark, d), edges(spark, d))
+
+
+@query(f"""WITH {_CUR}, {_EDGES}, part AS (SELECT id FROM cur WHERE contains(lower(file), '-web/') ORDER BY id LIMIT 100) SELECT src, dst, relation FROM edge WHERE src IN (SELECT id FROM part) AND dst IN (SELECT id FROM part)""")
+def file_like_graph_first(spark, d):
+    """The reference's limited form: of the files that match, the first symbols by id."""
+    n = cur(spark, d)
+    return lookup.induced(n, edges(spark, d), lookup.file_like(n, "-web/", 100))[1].select("src", "dst", "relation")
+
+
 @query(f"WITH {_CUR}, {_EDGES}, part AS (SELECT id FROM cur WHERE contains(lower(file), '-web/')) SELECT src, dst, relation FROM edge WHERE src IN (SELECT id FROM part) AND dst IN (SELECT id FROM part)")
 def file_like_graph(spark, d):
     n = cur(spark, d)
@@ -315,17 +333,22 @@ def pagerank_subgraph(spark, d):
 # ---------------------------------------------------------------- impact
 
 
-def _impact(t: str) -> str:
+def _impact(t: str, start: str = _TOP.format(n=1)) -> str:
     back = ", back AS MATERIALIZED (SELECT dst AS src, src AS dst FROM call)" if t == "back" else ""
-    return f"""WITH RECURSIVE {_LINKS}{back}, {_BFS.format(t=t, depth=10)}, {_rank(_SEED1)},
+    walk = _BFS.format(t=t, depth=10).replace(_TOP.format(n=1), "start")
+    seeds = "CASE WHEN v.id IN (SELECT id FROM start) THEN 1.0::DOUBLE / (SELECT count(*) FROM start) ELSE 0 END"
+    return f"""WITH RECURSIVE {_LINKS}{back}, start AS MATERIALIZED (SELECT id FROM {start}), {walk}, {_rank(seeds)},
     affected AS MATERIALIZED (SELECT c.id, name, file, line_start AS line, type, CAST(hop AS INTEGER) AS hop, round(coalesce(score, 0), 6) AS risk_score, {_TEST} AS has_test
       FROM hops h JOIN cur c ON c.id = h.id LEFT JOIN ranked r ON r.id = c.id WHERE hop > 0),
     high AS (SELECT * FROM affected WHERE NOT has_test AND risk_score >= 0.3 * (SELECT max(risk_score) FROM affected)),
-    s AS (SELECT count(*) AS n, sum(CASE WHEN has_test THEN 0 ELSE 1 END) AS untested FROM affected),
-    g AS (SELECT 2 * count(*) AS degree FROM link WHERE src IN {_TOP.format(n=1)}),
-    score AS (SELECT CAST(least(round_even(round((0.4 * least(n / 50, 1.0) + 0.4 * untested / n + 0.2 * least(degree / 20, 1.0)) * 100, 9), 0), 100) AS INTEGER) AS risk_score FROM s, g)"""
+    s AS (SELECT count(*) AS n, sum(CASE WHEN has_test THEN 0 ELSE 1 END) AS untested, (SELECT count(*) FROM start) AS changed FROM affected),
+    g AS (SELECT 2 * count(*) AS degree FROM link WHERE src IN (SELECT id FROM start)),
+    score AS (SELECT CAST(least(round_even(round((0.4 * least(n / 50, 1.0) + 0.4 * untested / n + 0.2 * least(degree / changed / 20, 1.0)) * 100, 9), 0), 100) AS INTEGER) AS risk_score FROM s, g)"""
 
 
+_REPORT = """SELECT CAST(changed AS BIGINT) AS changed, n AS blast_radius, n AS affected, CAST(untested AS BIGINT) AS untested, risk_score, (SELECT count(*) FROM high) AS high_risk,
+    'Risk: ' || CASE WHEN risk_score < 30 THEN 'LOW' WHEN risk_score < 60 THEN 'MEDIUM' ELSE 'HIGH' END || ' (' || risk_score || '/100). This change touches ' || changed || ' node(s), affecting ' || n || ' downstream caller(s).' AS summary FROM s, score"""
+
 
 def _blast(spark, d, direction="both"):
     n, e = materialize(cur(spark, d), "cur"), materialize(edges(spark, d), "edges")
@@ -347,20 +370,22 @@ def untested_high_risk(spark, d):
     return _blast(spark, d).high_risk.select("id", "name", "file", "line", "risk_score")
 
 
-@query(
-    f"""{_impact('link')} SELECT CAST(1 AS BIGINT) AS changed, n AS blast_radius, n AS affected, CAST(untested AS BIGINT) AS untested, risk_score, (SELECT count(*) FROM high) AS high_risk,
-    'Risk: ' || CASE WHEN risk_score < 30 THEN 'LOW' WHEN risk_score < 60 THEN 'MEDIUM' ELSE 'HIGH' END || ' (' || risk_score || '/100). This change touches 1 node(s), affecting ' || n || ' downstream caller(s).' AS summary FROM s, score"""
-)
+@query(f"{_impact('link')} {_REPORT}")
 def risk_report(spark, d):
     return _blast(spark, d).report
 
 
-@query()
+@query(
+    f"""{_impact('link')}, risky AS (SELECT string_agg('    - ' || coalesce(name, 'null') || ' (' || coalesce(file, 'null') || ':' || coalesce(CAST(line AS VARCHAR), 'null') || ')', chr(10) ORDER BY risk_score DESC, id) AS t FROM (SELECT * FROM high ORDER BY risk_score DESC, id LIMIT 5)),
+    topmost AS (SELECT string_agg('    ' || CASE WHEN has_test THEN '[x]' ELSE '[ ]' END || ' ' || coalesce(rpad(name, 30, ' '), 'null') || ' risk=' || printf('%.3f', risk_score) || '  ' || coalesce(file, 'null'), chr(10) ORDER BY risk_score DESC, id) AS t FROM (SELECT * FROM affected ORDER BY risk_score DESC, id LIMIT 8))
+    SELECT concat_ws(chr(10), 'Impact Analysis' || chr(10) || '  Changed nodes  : ' || changed || chr(10) || '  Blast radius   : ' || n || ' functions affected' || chr(10) || '  Risk score     : ' || risk_score || '/100',
+      '  Untested high-risk nodes:' || chr(10) || risky.t, chr(10) || '  Top affected (by risk):' || chr(10) || topmost.t) AS text FROM s, score, risky, topmost"""
+)
 def impact_text(spark, d):
     return impact.impact_text(_blast(spark, d))
 
 
-@query()
+@query(f"""{_impact('link', "cur WHERE name IN ('get_value', 'Missing')")} {_REPORT}""")
 def impact_from_diff(spark, d):
     diff = spark.createDataFrame([("--- a\n+++ b\n+def get_value(x):\n+    return x\n+class Missing:\n def kept():",)], "text string")
     return impact.from_diff(materialize(cur(spark, d), "cur"), edges(spark, d), diff).report
@@ -427,21 +452,34 @@ def get_context_report(spark, d):
 # ---------------------------------------------------------------- drift
 
 
-@query(
+_DRIFT = (
     f"""WITH {_CALLS}, linked AS (SELECT c.src, n.embedding AS v FROM call c JOIN cur n ON n.id = c.dst),
     n AS (SELECT src, count(*) AS callees FROM linked GROUP BY 1 HAVING count(*) >= 2),
     per AS (SELECT src, pos, avg(x::DOUBLE) AS x FROM (SELECT src, unnest(v) AS x, unnest(range(len(v))) AS pos FROM linked WHERE {_OK.format(v='v')}) GROUP BY 1, 2),
     mean AS (SELECT src, list(x ORDER BY pos) AS m FROM per GROUP BY 1),
-    d AS (SELECT c.id AS node_id, c.name, c.file, c.line_start AS line, n.callees, round(1 - list_dot_product(c.embedding::DOUBLE[], m) / sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) / sqrt(list_dot_product(m, m)), 4) AS drift_score
-      FROM cur c JOIN n ON n.src = c.id JOIN mean ON mean.src = c.id WHERE c.type IN ('function', 'method') AND {_OK.format(v='c.embedding')} AND list_dot_product(m, m) > 0)
-    SELECT * FROM d WHERE drift_score >= 0.35"""
+    d AS (SELECT c.id AS node_id, c.name, c.file, c.line_start AS line, n.callees, 1 - list_dot_product(c.embedding::DOUBLE[], m) / sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])) / sqrt(list_dot_product(m, m)) AS score, round(score, 4) AS drift_score
+      FROM cur c JOIN n ON n.src = c.id JOIN mean ON mean.src = c.id WHERE c.type IN ('function', 'method') AND {_OK.format(v='c.embedding')} AND list_dot_product(m, m) > 0),
+    far AS (SELECT * FROM d WHERE drift_score >= 0.35)"""
 )
+
+
+@query(f"{_DRIFT} SELECT * EXCLUDE (score) FROM far")
 def drift_audit(spark, d):
     n = materialize(cur(spark, d, "type", "name", "file", "line_start", "embedding"), "cur")
     return drift.drift(n, materialize(graph.existing_edges(n, edges(spark, d, "CALLS")), "calls").withColumn("relation", F.lit("CALLS")))
 
 
-@query()
+_SCORE2 = "printf('%.2f', f.score)"
+
+
+@query(
+    f"""{_DRIFT}, called AS (SELECT c.src, list(n.name ORDER BY n.name) FILTER (WHERE n.name IS NOT NULL) AS names FROM call c JOIN cur n ON n.id = c.dst GROUP BY 1)
+    SELECT f.node_id, f.name, f.file, f.line, f.drift_score, concat_ws(' ', f.name, c.docstring) AS declared_intent, array_to_string(names, ', ') AS actual_callees,
+      concat_ws(' ', 'Semantic drift (' || CASE WHEN f.score < 0.5 THEN 'mild' WHEN f.score < 0.7 THEN 'moderate' ELSE 'severe' END || ', score=' || {_SCORE2} || ').',
+        CASE WHEN coalesce(c.docstring, '') <> '' THEN '"' || f.name || '" declares: "' || substr(c.docstring, 1, 80) || '"' ELSE '"' || f.name || '" has no docstring.' END,
+        'But calls: ' || array_to_string(names[1:5], ', ') || CASE WHEN len(names) > 5 THEN ' +' || (len(names) - 5) || ' more' ELSE '' END || '.', 'Name/docstring may not reflect actual responsibilities.') AS explanation
+    FROM far f JOIN called ON called.src = f.node_id JOIN cur c ON c.id = f.node_id"""
+)
 def drift_report(spark, d):
     n = materialize(cur(spark, d, *_SHORT, "embedding"), "cur")
     return drift.drift_report(n, graph.existing_edges(n, edges(spark, d, "CALLS")).withColumn("relation", F.lit("CALLS")))
@@ -700,18 +738,27 @@ def hash_skip(spark, d):
     return store.unchanged(store.current_hashes(table(spark, d, "file_hashes")), old)
 
 
-@query(
-    f"""WITH h AS (SELECT file, lower(trim(id, {_PAD})) AS id, indexed_at, landed_at, removed_at FROM nodes WHERE trim(id, {_PAD}) <> '' AND file IS NOT NULL),
+_DELTA = f"""WITH h AS (SELECT file, lower(trim(id, {_PAD})) AS id, indexed_at, landed_at, removed_at FROM nodes WHERE trim(id, {_PAD}) <> '' AND file IS NOT NULL),
     old AS (SELECT file, id, max(indexed_at) AS state FROM h WHERE landed_at < TIMESTAMP '2025-07-01' AND removed_at IS NULL GROUP BY 1, 2),
-    new AS (SELECT file, id, max(indexed_at) AS state FROM h WHERE removed_at IS NULL GROUP BY 1, 2)
-    SELECT coalesce(o.file, n.file) AS file, CAST(sum(CASE WHEN o.id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS added, CAST(sum(CASE WHEN n.id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS removed,
-      CAST(sum(CASE WHEN o.id IS NOT NULL AND n.id IS NOT NULL AND o.state IS DISTINCT FROM n.state THEN 1 ELSE 0 END) AS BIGINT) AS changed
-    FROM old o FULL JOIN new n ON n.file = o.file AND n.id = o.id GROUP BY 1"""
-)
-def delta_sets(spark, d):
+    new AS (SELECT file, id, max(indexed_at) AS state FROM h WHERE removed_at IS NULL GROUP BY 1, 2),
+    moved AS (SELECT coalesce(o.file, n.file) AS file, coalesce(o.id, n.id) AS id, CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.state IS DISTINCT FROM n.state THEN 'changed' END AS kind
+      FROM old o FULL JOIN new n ON n.file = o.file AND n.id = o.id)"""
+
+
+def _versions(spark, d):
     h = table(spark, d, "nodes").where(filled("id") & F.col("file").isNotNull() & F.col("removed_at").isNull()).select("file", norm_id("id").alias("id"), "indexed_at", "landed_at")
     last = lambda x: x.groupBy("file", "id").agg(F.max("indexed_at").alias("state"))
-    return store.delta_sets(last(h.where(F.col("landed_at") < F.lit("2025-07-01").cast("timestamp_ntz"))), last(h))
+    return last(h.where(F.col("landed_at") < F.lit("2025-07-01").cast("timestamp_ntz"))), last(h)
+
+
+@query(f"{_DELTA} SELECT file, count(*) FILTER (WHERE kind = 'added') AS added, count(*) FILTER (WHERE kind = 'removed') AS removed, count(*) FILTER (WHERE kind = 'changed') AS changed FROM moved GROUP BY 1")
+def delta_sets(spark, d):
+    return store.delta_sets(*_versions(spark, d))
+
+
+@query(f"{_DELTA} SELECT file, kind, id FROM moved WHERE kind IS NOT NULL")
+def delta_ids(spark, d):
+    return store.delta_ids(*_versions(spark, d))
 
 
 # ---------------------------------------------------------------- sources and streams
@@ -728,9 +775,9 @@ def parse_symbols(spark, d):
     return parsed.where("type <> 'file'").groupBy("type").agg(F.count(F.lit(1)).alias("symbols"), F.sum(F.size("calls")).alias("calls"))
 
 
-@query()
+@query(f"WITH {_CUR} SELECT id, CASE WHEN regexp_matches({_EMBED}, '[A-Za-z0-9]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM cur")
 def embed_symbols(spark, d):
-    """A vector for every current symbol's text, by the hashing model."""
+    """A vector for every current symbol's text, by the hashing model: of length one where there are words."""
     from codeloom.sources.ingest import embed
 
     n = cur(spark, d).select("id", scalar.embed_text("type", "name", "signature", "docstring").alias("text"))
