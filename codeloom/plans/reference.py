@@ -784,11 +784,44 @@ def embed_symbols(spark, d):
     return embed(n, "text", 64).select("id", F.round(vectors.norm("embedding"), 3).alias("norm"))
 
 
-@query("SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, value FROM events) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY 1, 2")
 def stream_event_windows(spark, d):
+    """Windows that are final: what ends less than two hours before the last event is still open."""
     from codeloom.streaming.windows import read_stream, run_to_table, windowed
 
-    return run_to_table(windowed(read_stream(spark, d, "events")), "complete").withColumn("total", F.round("total", 4))
+    return run_to_table(windowed(read_stream(spark, d, "events")), "append").withColumn("total", F.round("total", 4))
+
+
+def _made(kind: str, name: str) -> str:
+    return f"substr(sha256(p || '::{kind}::' || {name} || '::1'), 1, 16)"
+
+
+@query(
+    f"""WITH t AS (SELECT file, 'f' || substr(md5(file), 1, 12) || '.py' AS p, lower(trim(hash, {_PAD})) AS hash, indexed_at, landed_at FROM file_hashes WHERE trim(file, {_PAD}) <> '' AND indexed_at IS NOT NULL AND landed_at IS NOT NULL),
+    v AS (SELECT p, arg_min(struct_pack(h := hash), (indexed_at, landed_at)).h AS a, arg_max(struct_pack(h := hash), (indexed_at, landed_at)).h AS b FROM t GROUP BY 1),
+    e AS (SELECT p, 0 AS seq, NULL AS was, a AS now FROM v UNION ALL SELECT p, 1, a, b FROM v),
+    i AS (SELECT p, seq, was, now, {_made('file', 'p')} AS f, {_made('function', "'g' || was")} AS fw, {_made('function', "'g' || now")} AS fn FROM e)
+    SELECT p AS file, seq, CASE WHEN now IS NULL THEN '' WHEN was IS NULL THEN least(f, fn) || ',' || greatest(f, fn) WHEN was <> now THEN fn ELSE '' END AS added,
+      CASE WHEN was IS NULL THEN '' WHEN now IS NULL THEN least(f, fw) || ',' || greatest(f, fw) WHEN was <> now THEN fw ELSE '' END AS removed,
+      CASE WHEN was IS NULL OR now IS NULL THEN '' WHEN was <> now THEN f ELSE least(f, fn) || ',' || greatest(f, fn) END AS changed FROM i"""
+)
+def stream_live_deltas(spark, d):
+    """The first and then the last version of every hashed file, as two micro-batches of the live graph: a file's hash names its one function."""
+    from codeloom.session import scratch
+    from codeloom.streaming.live import LiveGraph, watch
+
+    t = table(spark, d, "file_hashes").where(filled("file") & F.col("indexed_at").isNotNull() & F.col("landed_at").isNotNull())
+    path = F.concat(F.lit("f"), F.substring(F.md5("file"), 1, 12), F.lit(".py"))
+    at = F.struct("indexed_at", "landed_at")
+    v = t.select(path.alias("file"), F.struct(norm_id("hash").alias("h")).alias("x"), at.alias("at")).groupBy("file").agg(F.min_by("x", "at").alias("a"), F.max_by("x", "at").alias("b"))
+    root = scratch(spark, "live")
+    for seq, c in enumerate(("a", "b")):
+        text = F.concat(F.lit("def g"), F.col(f"{c}.h"), F.lit("():\n    return 1\n")).cast("binary")
+        v.select("file", text.alias("content"), F.timestamp_seconds(F.lit(seq)).alias("ts")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    g = LiveGraph(spark, f"{root}/graph", score=False)
+    g.start(watch(spark, f"{root}/in", 1), f"{root}/checkpoint", once=True).awaitTermination()
+    join = lambda c: F.array_join(c, ",").alias(c)
+    return g.deltas().select("file", F.unix_timestamp("ts").cast("int").alias("seq"), join("added"), join("removed"), join("changed"))
 
 
 @query(f"SELECT file, h AS hash FROM (SELECT file, arg_max(coalesce(lower(trim(hash, {_PAD})), '-'), (indexed_at, landed_at)) AS h FROM file_hashes WHERE trim(file, {_PAD}) <> '' GROUP BY 1) WHERE h <> '-'")

@@ -243,3 +243,40 @@ def test_catalog(spark, tmp_path):
     assert sorted((r.repo_id, r.src) for r in c.read("edges").collect()) == [("x", "a"), ("y", "a")]
     c.write("nodes", spark.createDataFrame([("i", "f")], "id string, name string"))  # an older schema
     assert c.read("nodes").first().embedding is None
+
+
+def test_live_graph_compacts(spark, tmp_path):
+    """Compaction changes nothing that is seen, tombstones stay gone, and later batches go on from it."""
+    g = live.LiveGraph(spark, f"file://{tmp_path}/live", score=False, compact_every=2)
+    event = lambda f, c, h: spark.createDataFrame([(f, None if c is None else c.encode(), dt.datetime(2025, 1, 1, h))], live.EVENTS)
+    steps = [("a.py", "def f():\n    pass\n"), ("b.py", "def g():\n    pass\n"), ("a.py", None), ("b.py", "def h():\n    pass\n"), ("c.py", "def k():\n    pass\n")]
+    for i, (f, c) in enumerate(steps):
+        g.apply(event(f, c, i), i)
+    assert {r.name for r in g.symbols().collect()} == {"b.py", "h", "c.py", "k"} and g._numbers("compacted") == [1, 3]
+    assert g.stats().first().asDict() == {"batches": 5, "files": 2, "symbols": 4, "added": 7, "removed": 3, "changed": 1}
+    assert {r.name for r in g.symbols(spark.createDataFrame([("b.py",)], "file string")).collect()} == {"b.py", "h"}
+
+
+def test_scores_around_a_change_need_no_other_links(spark):
+    """PageRank around a change is the same on the links found by name as on all links."""
+    from codeloom.operators.graph import local_pagerank, symmetrize
+
+    code = "".join(f"def f{i}():\n    f{(i * 7 + 1) % 40}()\n    f{(i * 3 + 2) % 40}()\n\n" for i in range(40))
+    files = spark.createDataFrame([("a.py", code), ("b.py", "def z():\n    f3()\n\ndef f3():\n    y()\n"), ("c.py", "def y():\n    pass\n\ndef far():\n    pass\n")], "file string, content string")
+    n = ingest.parse_files(files)
+    changed = n.where("name = 'z'").select("id")
+    want = {r.id: r.score for r in local_pagerank(symmetrize(n, ingest.call_edges(n)), changed, 2).collect()}
+    some = live.around(n, changed, 2)
+    got = {r.id: r.score for r in local_pagerank(symmetrize(some, ingest.call_edges(some)), changed, 2).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and len(want) < n.count()
+
+
+def test_file_states_go_on_after_a_restart(spark, tmp_path):
+    from codeloom.streaming.windows import file_states, read_stream
+
+    log = lambda rows, n: spark.createDataFrame([(f, h, dt.datetime(2025, 1, d), dt.datetime(2025, 1, d)) for f, h, d in rows], "file string, hash string, indexed_at timestamp_ntz, landed_at timestamp_ntz").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/t/file_hashes.parquet")
+    state = lambda: sorted((r.file, r.hash) for r in file_states(read_stream(spark, f"file://{tmp_path}/t", "file_hashes"), f"file://{tmp_path}/s").collect())
+    log([("a", "1", 1), ("b", "1", 1)], 0)
+    assert state() == [("a", "1"), ("b", "1")]
+    log([("a", "2", 3), ("b", "0", 0 + 1), ("c", "1", 2)], 1)
+    assert state() == [("a", "2"), ("b", "1"), ("c", "1")] and state() == [("a", "2"), ("b", "1"), ("c", "1")]
