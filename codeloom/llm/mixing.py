@@ -19,15 +19,15 @@ the total asked for is too large, a source stops at its cap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.normal import filled, norm_id
 from codeloom.llm.tokens import BYTE_BPE_50K, token_counts
-from codeloom.session import materialize
+from codeloom.session import materialize, observed
 
-_RANGES = 4_096  # ranges of keys in each source
+_IN_RANGE = 16_384  # documents for which a source has one range of keys
 
 
 def targets_of(mix_targets: DataFrame) -> DataFrame:
@@ -41,13 +41,22 @@ def targets_of(mix_targets: DataFrame) -> DataFrame:
     return t.select("source", (F.col("share") / total).alias("share"), "cap")
 
 
-def sized(documents: DataFrame, targets: DataFrame, vocabulary: str = BYTE_BPE_50K, seed: int = 7) -> DataFrame:
-    """(doc_id, source, tokens, key, part) of the documents that can be chosen, written once."""
+def sized(documents: DataFrame, targets: DataFrame, vocabulary: str = BYTE_BPE_50K, size: Column | None = None) -> DataFrame:
+    """(doc_id, source, tokens, key, part) of the documents that can be chosen, written once.
+
+    ``size`` counts a text in place of tokens.  The key is the first 60 bits of the
+    MD5 of the id; ranges of it, as many as the number of documents asks for, are
+    the parts.
+    """
     wanted = documents.select("doc_id", norm_id("source").alias("source"), "text").join(targets.select("source"), "source", "left_semi")
-    counted = token_counts(wanted, keep=("source",), vocabulary=vocabulary, check=False).where("tokens > 0").drop("exact")
-    key = F.xxhash64("doc_id", F.lit(seed))
-    part = F.shiftrightunsigned(key, 52)  # the first 12 of 64 bits: ranges of the key in unsigned order
-    return materialize(counted.withColumn("key", key).withColumn("part", part), "sized")
+    if size is None:
+        counted = token_counts(wanted, keep=("source",), vocabulary=vocabulary, check=False).drop("exact")
+    else:
+        counted = wanted.select("doc_id", "source", F.coalesce(size, F.lit(0)).cast("long").alias("tokens"))
+    key = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 15), 16, 10).cast("long")
+    docs, seen = observed(counted.where("tokens > 0").withColumn("key", key), "sized", n=F.count(F.lit(1)))
+    bits = max(4, (seen["n"] // _IN_RANGE).bit_length())
+    return docs.withColumn("part", F.shiftright("key", 60 - bits))
 
 
 def budgets(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
@@ -66,7 +75,7 @@ def choose(docs: DataFrame, budget: DataFrame) -> DataFrame:
     """(doc_id, source, tokens, times): how often each chosen document is used."""
     sums = docs.groupBy("source", "part").agg(F.sum("tokens").alias("in_part"))
     before = F.coalesce(F.sum("in_part").over(W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("source", "part", before.alias("before"))  # at most _RANGES rows a source
+    starts = sums.select("source", "part", before.alias("before"))  # one row for _IN_RANGE documents
     plan = starts.join(budget.select("source", "epochs", "rest"), "source")
     ordered = W.partitionBy("source", "part").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     run = docs.withColumn("run", F.sum("tokens").over(ordered)).join(plan, ["source", "part"])
@@ -77,10 +86,10 @@ def choose(docs: DataFrame, budget: DataFrame) -> DataFrame:
     return run.select("doc_id", "source", "tokens", times.alias("times")).where("times > 0")
 
 
-def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None = None, vocabulary: str = BYTE_BPE_50K) -> tuple[DataFrame, DataFrame]:
-    """(chosen, report): the documents of the mix and the shares they reach."""
+def mix(documents: DataFrame, mix_targets: DataFrame, total_tokens: int | None = None, vocabulary: str = BYTE_BPE_50K, size: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chosen, report): the documents of the mix and the shares they reach; ``size`` measures texts in place of tokens."""
     t = materialize(targets_of(mix_targets), "targets")
-    docs = sized(documents, t, vocabulary)
+    docs = sized(documents, t, vocabulary, size)
     b = materialize(budgets(docs, t, total_tokens), "budgets")
     chosen = choose(docs, b)
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("times")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("times").alias("most_times"))

@@ -62,6 +62,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_mix_chars(spark: SparkSession, d: str) -> DataFrame:
+    """The mix by number of characters, which SQL can count."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"), size=F.length("text"))[0]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_cases(table(spark, d, "documents"), table(spark, d, "doc_labels")).select("doc_id")
 
@@ -77,4 +82,4 @@ def p9_counts(spark: SparkSession, d: str) -> DataFrame:
     return p9_figures(spark, d).select("doc_id", "words", "mean_word", "longest_word", "unique_share", "digit_share", "wide_share", "lines", "words_per_line", "common_share")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs, p7_ids, p7_sizes, p8_mix, p8_shares, p9_found, p9_figures, p9_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_groups, p3_found, p3_pairs, p7_ids, p7_sizes, p8_mix, p8_shares, p8_mix_chars, p9_found, p9_figures, p9_counts)}

@@ -42,7 +42,16 @@ v AS MATERIALIZED (SELECT id, embedding::DOUBLE[64] AS e FROM cur WHERE rn = 1 A
 s AS (SELECT a.id AS id, b.id AS other, array_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.id <> b.id),
 top AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(sim, 9) DESC, other) AS rank FROM s WHERE sim >= 0.88)"""
 
+_MIX = f"""WITH t AS (SELECT lower(trim(source, {_PAD})) AS source, sum(target_share) / sum(sum(target_share)) OVER () AS share, min(greatest(coalesce(max_repeats, 1), 0)) AS cap FROM mix_targets WHERE trim(source, {_PAD}) <> '' AND target_share > 0 GROUP BY 1),
+d AS (SELECT doc_id, t.source, length(text) AS tokens, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 15))::BIGINT AS key FROM documents JOIN t ON t.source = lower(trim(documents.source, {_PAD})) WHERE length(text) > 0),
+z AS (SELECT t.*, coalesce((SELECT sum(tokens) FROM d WHERE d.source = t.source), 0) AS size FROM t),
+b AS (SELECT *, least(CAST(round((SELECT min(size * cap / share) FROM z WHERE size > 0 AND cap > 0) * share) AS BIGINT), size * cap) AS budget FROM z),
+r AS (SELECT d.*, CASE WHEN size > 0 THEN budget // size ELSE 0 END AS epochs, budget - CASE WHEN size > 0 THEN budget // size ELSE 0 END * size AS rest,
+  sum(tokens) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) AS fin FROM d JOIN b ON b.source = d.source),
+m AS (SELECT doc_id, source, tokens, CAST(epochs + CASE WHEN fin - tokens < rest AND (fin <= rest OR fin - rest < rest - (fin - tokens)) THEN 1 ELSE 0 END AS INTEGER) AS times FROM r)"""
+
 SQL: dict[str, str] = {
+    "p8_mix_chars": f"{_MIX} SELECT doc_id, source, CAST(tokens AS BIGINT) AS tokens, times FROM m WHERE times > 0",
     "p1_found": f"{_NEAR} SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM top WHERE rank <= 5",
     "p9_counts": f"""{_COUNTS} SELECT doc_id, words, {_share('chars', 'words')} AS mean_word, longest_word, {_share('kinds', 'words')} AS unique_share, {_share('digits', 'solid')} AS digit_share, {_share('wide', 'letters')} AS wide_share,
       lines, {_share('words', 'lines')} AS words_per_line, {_share('coalesce(hit.n, 0)', 'words')} AS common_share FROM one LEFT JOIN hit USING (doc_id)""",

@@ -19,10 +19,12 @@ import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.session import ship, spread
@@ -41,10 +43,10 @@ def byte_chars() -> list[str]:
     return [chr(at[b]) for b in range(256)]
 
 
-def read_ranks(path: str) -> list[bytes]:
-    """Tokens by rank; ranks without gaps."""
-    with open(path, "rb") as f:
-        pairs = [line.split() for line in f if line.strip()]
+def read_ranks(vocabulary: str | bytes) -> list[bytes]:
+    """Tokens by rank of a vocabulary, a path or the file's content; ranks without gaps."""
+    data = vocabulary if isinstance(vocabulary, bytes) else Path(vocabulary).read_bytes()
+    pairs = [line.split() for line in data.splitlines() if line.strip()]
     out: list[bytes] = [b""] * len(pairs)
     for token, rank in pairs:
         out[int(rank)] = base64.b64decode(token)
@@ -89,11 +91,11 @@ def model_bytes(tokens: list[bytes]) -> bytes:
 class Encoder:
     """Texts to ids and back."""
 
-    def __init__(self, path: str):
+    def __init__(self, vocabulary: str | bytes):
         import regex
         import sentencepiece
 
-        tokens = read_ranks(path)
+        tokens = read_ranks(vocabulary)
         self.size = len(tokens)
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(tokens))
         self._cut = regex.compile(PATTERN).findall
@@ -121,9 +123,14 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(vocabulary: bytes) -> Encoder:
     """One encoder for each worker process."""
-    return Encoder(path)
+    return Encoder(vocabulary)
+
+
+def shipped(spark: SparkSession, vocabulary: str) -> Broadcast:
+    """The content of a vocabulary's file, read by the driver and sent to the executors (about a megabyte)."""
+    return spark.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
 
 def _texts(b: pa.RecordBatch) -> list[str | None]:
@@ -143,11 +150,12 @@ def _slices(b: pa.RecordBatch, most: int = 8_000_000) -> Iterator[pa.RecordBatch
 def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = BYTE_BPE_50K) -> DataFrame:
     """(key, ids): a narrow map over the documents; nothing is shuffled."""
     ship(documents.sparkSession)
+    shared = shipped(documents.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _slices(whole):
-                ids = encoder(vocabulary).encode(_texts(b))
+                ids = encoder(shared.value).encode(_texts(b))
                 ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[key, "ids"])
@@ -159,11 +167,12 @@ def encode_corpus(documents: DataFrame, key: str = "doc_id", text: str = "text",
 def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), vocabulary: str = BYTE_BPE_50K, check: bool = True) -> DataFrame:
     """(key, *keep, tokens, exact): number of ids, and whether decoding them gives the text back (null without ``check``)."""
     ship(documents.sparkSession)
+    shared = shipped(documents.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _slices(whole):
-                e, texts = encoder(vocabulary), _texts(b)
+                e, texts = encoder(shared.value), _texts(b)
                 ids = e.encode(texts)
                 same = [e.decode(i) == (t or "") if check else None for i, t in zip(ids, texts)]
                 names = [n for n in b.schema.names if n != "text"]

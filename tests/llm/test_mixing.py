@@ -55,7 +55,8 @@ def test_edge_cases(spark):
     assert not chosen and not rep
 
 
-def test_ranges_follow_the_order_of_keys(spark):
+def test_ranges_follow_the_order_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_IN_RANGE", 2)  # ranges of about two documents
     d = docs(spark, [(i, "w " * (i % 5 + 1), "hot") for i in range(2_000)])
     t = mixing.targets_of(targets(spark, [("hot", 1.0, 1)]))
     s = mixing.sized(d, t)
