@@ -775,6 +775,22 @@ def parse_symbols(spark, d):
     return parsed.where("type <> 'file'").groupBy("type").agg(F.count(F.lit(1)).alias("symbols"), F.sum(F.size("calls")).alias("calls"))
 
 
+_DEFS = r"^[ \t]*(?:async[ \t]+)?def[ \t]+\w+"
+_CLASSES = r"^[ \t]*class[ \t]+\w+"
+
+
+@query(f"""WITH {_CUR}, t AS (SELECT id, string_split(replace(replace(raw_text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)) AS l FROM cur WHERE file LIKE '%.py' AND type IN ('class', 'function', 'method') AND raw_text IS NOT NULL)
+SELECT id, len(list_filter(l, lambda x: regexp_matches(x, '{_DEFS}'))) AS functions, len(list_filter(l, lambda x: regexp_matches(x, '{_CLASSES}'))) AS classes FROM t""")
+def parse_python(spark, d):
+    """How many functions and classes the parser finds in each Python symbol's source."""
+    from codeloom.sources.ingest import parse_files
+
+    n = cur(spark, d, "type", "file", "raw_text").where("file like '%.py' and type in ('class', 'function', 'method') and raw_text is not null")
+    parsed = parse_files(n.select(F.concat("id", F.lit(".py")).alias("file"), F.col("raw_text").alias("content")))
+    of = lambda kind: F.count(F.when(F.col("type") == kind, 1))
+    return parsed.groupBy(F.expr("left(file, length(file) - 3)").alias("id")).agg(of("function").alias("functions"), of("class").alias("classes"))
+
+
 @query(f"WITH {_CUR} SELECT id, CASE WHEN regexp_matches({_EMBED}, '[A-Za-z0-9]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM cur")
 def embed_symbols(spark, d):
     """A vector for every current symbol's text, by the hashing model: of length one where there are words."""
