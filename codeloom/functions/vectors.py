@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeloom.session import ship
+from codeloom.session import materialize, observed, ship
 
 
 def _c(c: Column | str) -> Column:
@@ -60,6 +60,9 @@ def pack(rows: DataFrame, key: str, vector: str, dim: int, block: int, name: str
     return rows.where(usable(vector, dim)).select(key, vector).mapInArrow(run, f"{name}_ids array<{kind}>, {name}_raw binary")
 
 
+_SENT = 64 << 20  # bytes of query vectors that are sent to every executor
+
+
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int = 64, block: int = 4_096, cosine: bool = False) -> DataFrame:
     """(query, id, score, rank): for each query (id, embedding) the k vectors of ``corpus`` (id, embedding) by dot product, then id.
 
@@ -89,7 +92,10 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, dim: int = 64, block: i
                     names=["query", "id", "score"],
                 )
 
-    pairs = pack(corpus, "id", "embedding", dim, block, "c").crossJoin(pack(queries, "id", "embedding", dim, block, "q"))
+    c = materialize(pack(corpus, "id", "embedding", dim, block, "c"), "blocks")
+    q, seen = observed(pack(queries, "id", "embedding", dim, block, "q"), "blocks", size=F.sum(F.length("q_raw")))
+    # a stated set of queries against all rows, block by block
+    pairs = c.crossJoin(F.broadcast(q) if (seen["size"] or 0) <= _SENT else q)
     best = W.partitionBy("query").orderBy(F.desc("score"), "id")
     found = pairs.mapInArrow(score, f"query {kind}, id {corpus.schema['id'].dataType.simpleString()}, score double")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

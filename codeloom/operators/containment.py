@@ -30,6 +30,12 @@ def parent_links(edges: DataFrame, relation: str = "DEFINES") -> DataFrame:
     )
 
 
+def several_parents(edges: DataFrame) -> DataFrame:
+    """(id, parents): ids that more than one parent defines; of those ``parent_links`` keeps the smallest."""
+    used = edges.where((norm_upper("relation") == "DEFINES") & filled("src") & filled("dst")).select(norm_id("dst").alias("id"), norm_id("src").alias("parent"))
+    return used.groupBy("id").agg(F.countDistinct("parent").alias("parents")).where("parents > 1")
+
+
 def _double(links: DataFrame, trail: bool) -> tuple[DataFrame, DataFrame | None]:
     """Pointers of all children (id, anc, hop, done[, up]) and those that never end.
 

@@ -19,21 +19,28 @@ def search_symbols(nodes: DataFrame, queries: DataFrame, k: int = 10, dim: int =
     return found.join(short, "id").select("query", "id", "name", "type", "file", "line", "signature", F.round("score", 4).alias("score"), "rank")
 
 
+_RANGES = 4_096  # ranges whose sums one task adds up
+
+
 def within_budget(rows: DataFrame, budget: int, by: str | None, order: list[Column], tokens: str = "tokens", range_of: Column | None = None) -> DataFrame:
     """The longest prefix of rows, in ``order``, whose tokens fit the budget, with the running ``total``.
 
     With ``by``, each group has the budget.  ``range_of`` - a column by which
-    ``order`` starts - cuts a large group: sums of its ranges come first, so no
-    task sorts more than one range.
+    ``order`` starts - cuts a large group into numbered ranges: their sums come
+    first, so no task sorts more than one range.
     """
     keys = [by] if by else []
     if range_of is None:
         w = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return rows.withColumn("total", F.sum(tokens).over(w)).where(F.col("total") <= budget)
+    # two levels of sums: ranges of ranges first, so that no task sees all ranges
     cut = rows.withColumn("_r", range_of)
-    sums = cut.groupBy(*keys, "_r").agg(F.sum(tokens).alias("_s"))
-    w = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)]).orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
-    starts = sums.select(*keys, "_r", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_b")).where(F.col("_b") <= budget)
+    sums = cut.groupBy(*keys, "_r").agg(F.sum(tokens).alias("_s")).withColumn("_upper", F.floor(F.col("_r") / _RANGES))
+    upper = sums.groupBy(*keys, "_upper").agg(F.sum("_s").alias("_whole"))
+    by_keys = W.partitionBy(*[F.col(k) for k in keys] or [F.lit(0)])
+    upper = upper.select(*keys, "_upper", F.coalesce(F.sum("_whole").over(by_keys.orderBy("_upper").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_begin")).where(F.col("_begin") <= budget)
+    w = W.partitionBy(*keys, "_upper").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.join(upper, [*keys, "_upper"]).select(*keys, "_r", (F.col("_begin") + F.coalesce(F.sum("_s").over(w), F.lit(0))).alias("_b")).where(F.col("_b") <= budget)
     inner = W.partitionBy(*keys, "_r").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return cut.join(starts, [*keys, "_r"]).withColumn("total", F.col("_b") + F.sum(tokens).over(inner)).where(F.col("total") <= budget).drop("_r", "_b")
 

@@ -26,6 +26,11 @@ def p4_all_descendants(spark: SparkSession, d: str) -> DataFrame:
     return containment.all_descendants(table(spark, d, "edges"))
 
 
+def p4_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """Ids with more than one parent; the hierarchy keeps the smallest."""
+    return containment.several_parents(table(spark, d, "edges"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     logs = {"file_hashes": changes.file_log(table(spark, d, "file_hashes")), "nodes": changes.node_log(table(spark, d, "nodes"))}
     return changes.changes_by_run(table(spark, d, "index_runs"), logs).select("run_id", "tbl", "rec")
@@ -46,7 +51,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.orphan_report(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "boundary"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p4_all_descendants, p5_found, p5_batches, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_paths, p4_descendants, p4_all_descendants, p4_conflicts, p5_found, p5_batches, p6_found, p6_report)}
 
 _PAD = "' ' || chr(9) || chr(13) || chr(10)"
 
@@ -114,6 +119,7 @@ SQL = {
       SELECT id, descendant, CAST(depth - pos AS INTEGER) AS distance FROM pairs WHERE id <> descendant
       UNION ALL
       SELECT id, descendant, CAST(distance AS INTEGER) FROM climb WHERE id <> descendant""",
+    "p4_conflicts": f"SELECT {_id('dst')} AS id, count(DISTINCT {_id('src')}) AS parents FROM edges WHERE upper(trim(relation, {_PAD})) = 'DEFINES' AND trim(src, {_PAD}) <> '' AND trim(dst, {_PAD}) <> '' GROUP BY 1 HAVING count(DISTINCT {_id('src')}) > 1",
     "p5_found": f"{_CHANGES} SELECT run_id, tbl, rec FROM changed",
     "p5_batches": f"{_CHANGES} SELECT run_id, tbl, count(*) AS changed, count(*) FILTER (WHERE state IS NULL) AS gone FROM changed GROUP BY 1, 2",
     "p6_found": f"{_ORPHANS} SELECT src, dst, relation, side FROM found",

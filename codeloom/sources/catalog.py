@@ -17,6 +17,7 @@ SCHEMAS = {
     "temporal_edges": "src string, dst string, relation string, first_seen_ts timestamp, last_seen_ts timestamp, repo_id string",
     "boundary": "node_id string, name string, file string, type string, link_type string, link_key string, repo_id string",
     "cross_edges": "src_repo string, src_node string, dst_repo string, dst_node string, link_type string, confidence double",
+    "fed_repos": "repo_id string, repo_path string, db_path string, indexed_at timestamp",
     "sessions": "id string, project string, summary string, tags array<string>, created_at timestamp, embedding array<float>",
 }
 
@@ -53,3 +54,7 @@ class Catalog:
 
     def append(self, name: str, rows: DataFrame) -> None:
         rows.write.mode("append").parquet(f"{self.root}/{name}")
+
+    def size_kb(self) -> float:
+        """Kilobytes of all tables, to one place."""
+        return round(self._fs.getContentSummary(self._path(self.root)).getLength() / 1024, 1) if self._fs.exists(self._path(self.root)) else 0.0

@@ -27,6 +27,29 @@ def git(repo: str, *args: str) -> bytes:
     return subprocess.run(["git", "-c", "safe.directory=*", "-C", repo, *args], check=True, capture_output=True).stdout
 
 
+class Blobs:
+    """Contents of files of commits, from one git process that answers as long as it is asked."""
+
+    def __init__(self, repo: str):
+        self._git = subprocess.Popen(["git", "-c", "safe.directory=*", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE)
+
+    def get(self, sha: str, file: str) -> bytes | None:
+        self._git.stdin.write(f"{sha}:{file}\n".encode("utf-8", "surrogateescape"))
+        self._git.stdin.flush()
+        head = self._git.stdout.readline().split()
+        if len(head) < 3 or head[-2] != b"blob":
+            if len(head) >= 3 and head[-1].isdigit():  # a submodule or a folder
+                self._git.stdout.read(int(head[-1]) + 1)
+            return None
+        content = self._git.stdout.read(int(head[-1]))
+        self._git.stdout.read(1)
+        return content
+
+    def close(self) -> None:
+        self._git.stdin.close()
+        self._git.wait()
+
+
 class Range(InputPartition):
     def __init__(self, commits: list[tuple[int, str, int, str]]):
         super().__init__(None)
@@ -52,16 +75,23 @@ class GitReader(DataSourceReader):
     def read(self, partition: Range) -> Iterator[tuple]:
         import datetime
 
+        blobs = Blobs(self.repo) if partition.commits else None
         for seq, sha, ts, parent in partition.commits:
             base = [parent, sha] if parent else ["--root", sha]
-            changed = git(self.repo, "diff-tree", "-r", "--no-commit-id", "--name-only", "--no-renames", "-z", *base).decode("utf-8", "replace")
+            changed = git(self.repo, "diff-tree", "-r", "--no-commit-id", "--name-only", "--no-renames", "-z", *base).decode("utf-8", "surrogateescape")
             when = datetime.datetime.fromtimestamp(ts, datetime.timezone.utc)
             for file in filter(None, changed.split("\0")):
-                try:
-                    content = git(self.repo, "show", f"{sha}:{file}")
-                except subprocess.CalledProcessError:
-                    content = None
-                yield seq, sha[:8], when, file, content
+                # a line end in a name would end the question
+                content = blobs.get(sha, file) if "\n" not in file else self._alone(sha, file)
+                yield seq, sha[:8], when, file.encode("utf-8", "surrogateescape").decode("utf-8", "replace"), content
+        if blobs:
+            blobs.close()
+
+    def _alone(self, sha: str, file: str) -> bytes | None:
+        try:
+            return git(self.repo, "show", f"{sha}:{file}")
+        except subprocess.CalledProcessError:
+            return None
 
 
 class GitLog(DataSource):

@@ -1,6 +1,7 @@
 """Parsing, indexing, history, snapshots and the live graph on made trees."""
 
 import datetime as dt
+import io
 import subprocess
 
 import pytest
@@ -216,7 +217,7 @@ def test_embedding(spark):
     assert {tuple(r.v) for r in own.collect()} == {(15.0, 1.0), (0.0, 1.0), (13.0, 1.0)}
 
 
-def test_command_line(spark, tree, tmp_path):
+def test_command_line(spark, tree, tmp_path, monkeypatch):
     from codeloom.__main__ import parser, run
 
     go = lambda *a, repo="one": run(spark, parser().parse_args(["--store", f"file://{tmp_path}/store", "--dim", "32", "--repo", repo, *a]))
@@ -229,6 +230,12 @@ def test_command_line(spark, tree, tmp_path):
     assert go("volatility").columns == ["error"] and go("timeline", str(tmp_path)).first().nodes_tracked == 0
     (tmp_path / "d").write_text("+def helper(x):\n")
     assert go("diff", str(tmp_path / "d")).first().changed >= 1 and go("audit").columns[0] == "node_id"
+    monkeypatch.setattr("sys.stdin", io.StringIO("+def helper(x):\n"))
+    assert go("diff", "-").first().changed >= 1 and go("status").first().db_size_kb > 0
+    first = go("remember", "fixed the helper").first().id
+    go("remember", "wrote the readme")
+    assert go("sessions").count() == 2 and go("session", first[:6]).first().summary == "fixed the helper" and go("sessions", repo="two").count() == 0
+    assert "helper" in go("recall", "helper").first().text
 
 
 def test_catalog(spark, tmp_path):
