@@ -30,7 +30,7 @@ def drift(nodes: DataFrame, edges: DataFrame, declared: str = "embedding", thres
 
 
 def explain(name: Column, docstring: Column, callees: Column, score: Column) -> Column:
-    """A sentence on a drift; ``callees`` is an array of names, of which five are shown."""
+    """A sentence on a drift; ``callees`` is an array of names, of which five are shown.  Fixed values: its wording."""
     more = F.when(F.size(callees) > 5, F.concat(F.lit(" +"), (F.size(callees) - 5).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
     doc = F.coalesce(docstring, F.lit(""))
     says = F.when(doc != "", F.concat(F.lit('"'), name, F.lit('" declares: "'), F.substring(doc, 1, 80), F.lit('"'))).otherwise(F.concat(F.lit('"'), name, F.lit('" has no docstring.')))

@@ -68,7 +68,7 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, changed: DataFrame, max_dep
 
 
 def impact_text(i: Impact) -> DataFrame:
-    """(text): the report with its five riskiest untested and eight riskiest affected symbols."""
+    """(text): the report with its five riskiest untested and eight riskiest affected symbols.  Fixed values: its wording."""
     head = i.report.select(
         F.format_string("Impact Analysis\n  Changed nodes  : %d\n  Blast radius   : %d functions affected\n  Risk score     : %d/100", "changed", "blast_radius", "risk_score").alias("head")
     )
