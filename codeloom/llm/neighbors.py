@@ -1,12 +1,15 @@
 """The most similar vectors of every vector, from balanced posting lists.
 
-1. *Centroids.*  Balanced k-means trees are fitted to a bounded sample
-   (``sample_rows``): a cluster is split until it holds no more of the sample
-   than its share, so dense regions get many small lists.
+1. *Centroids.*  Balanced k-means trees are fitted to all vectors: a cluster is
+   split until it holds no more than its share, so dense regions get many small
+   lists.  Beyond ``sample_rows`` vectors a sample gives cells, and each cell
+   fits centroids to all its vectors in a task.
 2. *Centroid graph.*  Centroids and their nearest centroids form a graph that
-   fits in memory; a best-first search over it finds the lists near a vector.
+   fits in memory; a best-first search, which enters it by groups of centroids
+   around hubs, finds the lists near a vector.
 3. *Replication.*  A vector is a member of its nearest list and of each further
-   list whose centroid is at most (1 + ``slack``) times as far, up to ``copies``.
+   list whose centroid is at most (1 + ``slack``) times as far, up to ``copies``:
+   as a rule of all that it asks, which costs no further row.
 4. *Pruning.*  A vector asks the lists whose centroids are at most
    (1 + ``reach``) times as far as the nearest, up to ``probes``.  Both choices
    come from one search, so a vector is sent to a list once, as member and query.
@@ -42,7 +45,7 @@ from codeloom.session import materialize, ship
 
 @dataclass(frozen=True)
 class Params:
-    """sample_rows bounds what the centroids are fitted to (256 bytes each), max_lists their number.
+    """sample_rows bounds the vectors that the driver holds (256 bytes each), max_lists the centroids; cell_rows is the size of a cell.
 
     list_size is the number of vectors for which there is one list.  Beyond
     max_lists * list_size vectors a list holds more, and is divided again where it
@@ -55,14 +58,15 @@ class Params:
     least: float = 0.88
     list_size: int = 64
     sample_rows: int = 262_144
-    max_lists: int = 32_768
-    divide: int = 512
+    cell_rows: int = 65_536
+    max_lists: int = 262_144
+    divide: int = 2_048
     part_rows: int = 32_768
     degree: int = 32
-    copies: int = 2
-    slack: float = 0.1
-    probes: int = 6
-    reach: float = 0.3
+    copies: int = 8
+    slack: float = 0.2
+    probes: int = 8
+    reach: float = 0.2
     block: int = 2_048
     seed: int = 11
 
@@ -139,48 +143,70 @@ def fit_centroids(x: np.ndarray, lists: int, seed: int) -> tuple[np.ndarray, np.
 
 @dataclass(frozen=True)
 class Graph:
-    """Centroids, the neighbours of each, and entry points spread over them."""
+    """Centroids, the neighbours of each, and groups of them around hubs, through which a search enters."""
 
     at: np.ndarray
     near: np.ndarray
-    entry: np.ndarray
+    hubs: np.ndarray
+    group: np.ndarray
+    start: np.ndarray
+
+
+def entries(g: Graph, q: np.ndarray, want: int, look: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, similarities) of the ``want`` nearest centroids in the groups of the ``look`` hubs nearest to each row of ``q``, in no order; -1 where there are fewer."""
+    look = min(look, len(g.hubs))
+    s = q @ g.hubs.T
+    hub = np.argpartition(-s, look - 1, axis=1)[:, :look].ravel()
+    order = np.argsort(hub, kind="stable")
+    ends = np.searchsorted(hub[order], np.arange(len(g.hubs) + 1))
+    ids, sim = np.full((len(hub), want), -1, np.int32), np.full((len(hub), want), -9.0, np.float32)
+    for h in np.flatnonzero(np.diff(ends)):
+        slots, mine = order[ends[h] : ends[h + 1]], g.group[g.start[h] : g.start[h + 1]]
+        x = q[slots // look] @ g.at[mine].T
+        w = min(want, len(mine))
+        top = np.argpartition(-x, w - 1, axis=1)[:, :w] if w else np.zeros((len(slots), 0), np.int64)
+        ids[slots, :w], sim[slots, :w] = mine[top], np.take_along_axis(x, top, 1)
+    ids, sim = ids.reshape(len(q), -1), sim.reshape(len(q), -1)
+    best = np.argpartition(-sim, want - 1, axis=1)[:, :want]
+    return np.take_along_axis(ids, best, 1), np.take_along_axis(sim, best, 1)
+
+
+def looks(g: Graph) -> int:
+    """The number of groups that a search enters, which grows with the root of their number."""
+    return 4 + 2 * int(np.sqrt(len(g.hubs)))
 
 
-def build_graph(c: np.ndarray, degree: int, seed: int) -> Graph:
+def build_graph(c: np.ndarray, degree: int, seed: int, group: int = 128) -> Graph:
     n = len(c)
     d = min(degree, max(1, n - 1))
-    near = np.zeros((n, d), np.int32)
-    for i in range(0, n, 1024):
-        s = c[i : i + 1024] @ c.T
-        s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
-        top = np.argpartition(-s, d - 1, axis=1)[:, :d]
-        near[i : i + 1024] = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
-    rng = np.random.default_rng(seed)
+    hubs = fit_centroids(c, max(1, n // group), seed)[0] if n > group else c.mean(axis=0, keepdims=True) if n else c
+    of = np.concatenate([np.argmax(c[i : i + 4096] @ hubs.T, axis=1) for i in range(0, n, 4096)]) if n else np.zeros(0, np.int64)
+    order = np.argsort(of, kind="stable").astype(np.int32)
+    g = Graph(c, np.zeros((n, d), np.int32), hubs, order, np.searchsorted(of[order], np.arange(len(hubs) + 1)))
+    for i in range(0, n, 4096) if n > 1 else ():
+        ids, sim = entries(g, c[i : i + 4096], d + 1, looks(g))
+        sim[ids == np.arange(i, i + len(ids))[:, None]] = -8.0  # itself comes last
+        top = np.take_along_axis(ids, np.argsort(-sim, axis=1, kind="stable")[:, :d], 1)
+        g.near[i : i + 4096] = np.where(top < 0, top[:, :1], top)
     # seven of eight links go to the nearest, the rest to any: the graph stays connected
     if n > 4 * d:
-        near[:, -max(1, d // 8) :] = rng.integers(0, n, (n, max(1, d // 8)))
-    entry = rng.choice(n, min(n, max(8, int(2 * np.sqrt(n)))), replace=False).astype(np.int32) if n else np.zeros(0, np.int32)
-    return Graph(c, near, entry)
+        g.near[:, -max(1, d // 8) :] = np.random.default_rng(seed).integers(0, n, (n, max(1, d // 8)))
+    return g
 
 
 def search(g: Graph, q: np.ndarray, want: int, beam: int = 48, rounds: int = 20, far: float = 1.6) -> tuple[np.ndarray, np.ndarray]:
     """(lists, similarities) of the ``want`` nearest centroids of each row of ``q``, best first.
 
-    All rows walk the graph together: each round expands the three best
-    candidates that a row hasn't expanded yet and keeps its ``beam`` best.  A
-    candidate ``far`` times as far as the best isn't expanded; a row without
-    candidates is done.
+    A row starts at the best of the groups nearest to it; then all rows walk the
+    graph together: each round expands the three best candidates that a row hasn't
+    expanded yet and keeps its ``beam`` best.  A candidate ``far`` times as far as
+    the best isn't expanded; a row without candidates is done.
     """
     n = len(g.at)
     beam = min(max(beam, want), n)
-    s = q @ g.at[g.entry].T
-    top = np.argpartition(-s, min(beam, s.shape[1]) - 1, axis=1)[:, :beam]
-    ids, sim = g.entry[top], np.take_along_axis(s, top, 1)
-    if ids.shape[1] < beam:
-        pad = beam - ids.shape[1]
-        ids, sim = np.pad(ids, ((0, 0), (0, pad)), constant_values=-1), np.pad(sim, ((0, 0), (0, pad)), constant_values=-9.0)
+    ids, sim = entries(g, q, beam, looks(g))
     done = ids < 0
-    live = np.arange(len(q))
+    live = np.arange(len(q) if looks(g) < len(g.hubs) else 0)  # else all have been seen
     for _ in range(rounds):
         i, x, d = ids[live], sim[live], done[live]
         open_ = np.where(d | (x < 1 - far * far * (1 - x.max(axis=1, keepdims=True))), -9.0, x)
@@ -314,6 +340,41 @@ def cells(to: np.ndarray, member: np.ndarray, r: np.ndarray, parts: np.ndarray)
 # ---------------------------------------------------------------- the whole
 
 
+def fit_lists(units: DataFrame, n: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of the lists for all ``n`` vectors, and how many each stands for."""
+    lists = min(p.max_lists, max(1, -(-n // p.list_size)))
+    share = min(1.0, p.sample_rows / max(1, n))
+    chosen = units if share >= 1.0 else units.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    sample = unpack(chosen.select("vec").toArrow().column("vec"), p.dim)
+    if share >= 1.0 or not len(sample):
+        return fit_centroids(sample, lists, p.seed)
+    sample = sample[np.lexsort(sample.T[:3])]  # the same lists in whatever order the rows come
+    cells = build_graph(fit_centroids(sample, -(-n // p.cell_rows), p.seed)[0], p.degree, p.seed)
+    of = np.concatenate([search(cells, sample[i : i + 2_000], 1)[0][:, 0] for i in range(0, len(sample), 2_000)])
+    # a cell of more than twice its rows is dealt out at random
+    hands = np.maximum(1, np.ceil(np.bincount(of, minlength=len(cells.at)) / len(sample) * n / (2 * p.cell_rows))).astype(np.int64)
+    shared = units.sparkSession.sparkContext.broadcast(cells)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, 2_000) for whole in batches for at in range(0, whole.num_rows, 2_000)):
+            cell = search(shared.value, unpack(b.column("vec"), p.dim), 1)[0][:, 0]
+            hand = b.column("deal").to_numpy(zero_copy_only=False) % hands[cell]
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(hand, pa.int32()), b.column("vec")], names=["cell", "hand", "vec"])
+
+    def fit(key: tuple, table: pa.Table) -> pa.Table:
+        x = unpack(table.column("vec"), p.dim)
+        x = x[np.lexsort(x.T[:3])]
+        c, sizes = fit_centroids(x, -(-len(x) * lists // n), p.seed)
+        raw, step = c.tobytes(), 4 * p.dim
+        at = [pa.array([k.as_py()] * len(c), pa.int32()) for k in key]
+        return pa.table([*at, pa.array([raw[i : i + step] for i in range(0, len(raw), step)], pa.binary()), pa.array(sizes, pa.int64())], names=["cell", "hand", "vec", "size"])
+
+    dealt = units.select("vec", F.pmod(F.xxhash64("id", F.lit(p.seed + 1)), F.lit(1 << 30)).alias("deal")).mapInArrow(deal, "cell int, hand int, vec binary")
+    fitted = dealt.groupBy("cell", "hand").applyInArrow(fit, "cell int, hand int, vec binary, size long").toArrow()
+    fitted = fitted.take(pa.array(np.lexsort((fitted.column("hand").to_numpy(), fitted.column("cell").to_numpy()))))
+    return unpack(fitted.column("vec"), p.dim), fitted.column("size").to_numpy()
+
+
 def nearest(units: DataFrame, p: Params) -> DataFrame:
     """(id, other, sim): for each distinct vector its best k + 1 others at or above the threshold.
 
@@ -321,14 +382,10 @@ def nearest(units: DataFrame, p: Params) -> DataFrame:
     """
     spark = units.sparkSession
     n = units.count()
-    share = min(1.0, p.sample_rows / max(1, n))
-    chosen = units if share >= 1.0 else units.where(F.pmod(F.xxhash64("id", F.lit(p.seed)), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = unpack(chosen.select("vec").toArrow().column("vec"), p.dim)
-    lists = min(p.max_lists, max(1, -(-n // p.list_size)))
-    centroids, sizes = fit_centroids(sample, lists, p.seed)
+    centroids, sizes = fit_lists(units, n, p)
     shared = spark.sparkContext.broadcast(build_graph(centroids, p.degree, p.seed))
-    # what each list may hold: its part of the sample, at the most copies and probes
-    most = np.array([[p.copies], [p.probes]]) * sizes * (n / max(1, len(sample)))
+    # what each list may hold: the vectors that it stands for, at the most copies and probes
+    most = np.minimum([[p.copies], [p.probes]], max(1, len(centroids))) * sizes
     parts = np.maximum(1, np.ceil(most / p.part_rows)).astype(np.int64)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -108,3 +108,35 @@ def test_centroids_are_balanced():
     size = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
     assert 40 <= len(c) <= 240 and size.max() <= 6 * len(x) / 60
     assert nb.fit_centroids(np.tile(x[:1], (500, 1)), 60, 1)[1].sum() == 500 and sizes.sum() == len(x)
+
+
+def test_vectors_beyond_the_sample(spark):
+    """A sample of 1 in 20 of clusters of three: most clusters are in no sample, and their pairs are found all the same."""
+    rows = clusters(2_000, 64, 9, spread=0.2, per=3)
+    want = brute(rows, 5, 0.88)
+    got = {(r.id_a, r.id_b) for r in nb.similar_pairs(table(spark, rows), nb.Params(sample_rows=100, list_size=8)).collect()}
+    assert len(got & want) / len(want) >= 0.99
+
+
+def test_lists_are_fitted_to_all_vectors_by_cells(spark):
+    """Cells of about 100 rows; a cell that is too full is dealt out."""
+    rows = clusters(1_500, 64, 10, spread=0.2, per=3) + [(f"h{i:05d}", v) for i, (_, v) in enumerate(clusters(500, 64, 8, per=500))]
+    p = nb.Params(sample_rows=200, cell_rows=100)
+    m = np.array([v for _, v in rows], np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    units = spark.createDataFrame([(i, bytearray(x.tobytes())) for (i, _), x in zip(rows, m)], "id string, vec binary")
+    c, sizes = nb.fit_lists(units, len(rows), p)
+    assert sizes.sum() == len(rows) and len(c) == len(sizes) >= 20
+    assert np.array_equal(c, nb.fit_lists(units.repartition(3), len(rows), p)[0])
+
+
+def test_search_of_centroids_in_knots():
+    """400 knots of 40 centroids each: the nearest neighbours of a centroid are all in its knot, and the search finds other knots all the same."""
+    rng = np.random.default_rng(4)
+    knots = rng.normal(size=(400, 64))
+    c = (np.repeat(knots, 40, axis=0) + 0.3 * rng.normal(size=(16_000, 64))).astype(np.float32)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    q = (knots + 0.5 * rng.normal(size=(400, 64))).astype(np.float32)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    ids, _ = nb.search(nb.build_graph(c, 32, 3), q, 6)
+    assert (ids[:, 0] == np.argmax(q @ c.T, axis=1)).mean() >= 0.98
